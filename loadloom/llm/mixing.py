@@ -99,20 +99,21 @@ def curriculum(
     )
 
 
-def in_order(mixed: DataFrame, columns: Sequence[str], position: str) -> DataFrame:
-    """Range-sorted by position, without one task for all."""
-    return mixed.repartitionByRange(F.col(position).asc_nulls_last()).sortWithinPartitions(F.col(position).asc_nulls_last()).select(*columns)
+def in_order(mixed: DataFrame, columns: Sequence[str], position: str, tie: str) -> DataFrame:
+    """Range-sorted by position, equal or missing positions by ``tie``, without one task for all."""
+    keys = [F.col(position).asc_nulls_last(), F.col(tie).asc_nulls_last()]
+    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns)
 
 
-def training_order(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
+def training_order(mixed: DataFrame, columns: Sequence[str], tie: str = "doc_id") -> DataFrame:
     """One row for each copy that the mix takes, in the order of training."""
-    return in_order(mixed.withColumn("_position", F.explode("positions")), columns, "_position")
+    return in_order(mixed.withColumn("_position", F.explode("positions")), columns, "_position", tie)
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = curriculum(docs)
-    return in_order(mixed, ["doc_id", "size", "source_size", "target", "taken", "first_position"], "first_position")
+    return in_order(mixed, ["doc_id", "size", "source_size", "target", "taken", "first_position"], "first_position", "doc_id")
 
 
 #: The same in DuckDB; ``{d}`` is the relation to mix.
