@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, topk, url_filter
+from . import ann, bpe, jaccard, mixing, topk, url_filter
 
 
 def queries():
     return {
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op4_bpe": bpe.op4_bpe,
         "op5_curriculum_mix": mixing.op5_curriculum_mix,
         "op6_exact_top5": topk.op6_exact_top5,
