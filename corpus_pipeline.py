@@ -1,4 +1,74 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: quality, near duplicates, personal data, mixture, tokens.
 
-STAGES = []
+Each stage is a function (spark, docs, sf_dir) -> DataFrame; ``run`` writes what one returns to the shared folder and reads
+it again as the next one's documents.  Rejected documents are taken out by id and a hash of the text, so that rows that
+repeat an id are told apart; the list of them is broadcast if it is short enough, and joined beyond that.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loadloom.llm import bpe, common, jaccard, mixing, pii, quality
+
+BROADCAST_ROWS = 2_000_000
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without those that have the ``_id`` and ``_hash`` of a rejected one."""
+    rejected = common.materialise(rejected.select("_id", "_hash").distinct(), "rejected")
+    side = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
+    same = docs["doc_id"].eqNullSafe(side["_id"]) & (F.xxhash64(docs["text"]) == side["_hash"])
+    return docs.join(side, same, "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    trusted = quality.trusted_ids(common.table(spark, sf_dir, "labels"))
+    judged = quality.classify(docs.withColumn("_hash", F.xxhash64("text")), trusted, extra=["_hash"])
+    return _without(docs, judged.where(~F.col("keep")).select(F.col("doc_id").alias("_id"), "_hash"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; one row of it."""
+    named = common.materialise(jaccard.linked_components(docs), "named")
+    others = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    others = common.materialise(others, "others")
+    side = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    kept = docs.join(side, "doc_id", "left_anti")
+    ids = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    return kept.dropDuplicates(["doc_id"]) if ids.where(F.col("count") > 1).limit(1).count() else kept
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced; lengths follow the text."""
+    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of the documents that the mix takes, in training order."""
+    return mixing.training_order(mixing.curriculum(docs), docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the ids of each copy and of the text that they decode to."""
+    return bpe.digests(bpe.encode_documents(docs, bpe.default_vocabulary()))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", one_of_each),
+    ("surrogates for personal data", surrogates),
+    ("mixture", mixture),
+    ("BPE", tokens),
+]
+#: The first stage's model, the hashing of entities and the tokens can't be expressed in SQL; see the tests.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
