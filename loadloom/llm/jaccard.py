@@ -31,7 +31,8 @@ no component; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 from .components import components
 
 CUTOFF, FREQUENT, GROUP, WHOLE = 0.30, 32, 32, 32
 #: Rounds of first checks, which end when one adds less than a part in ENOUGH of the links.
 ROUNDS, ENOUGH = 4, 10
 #: Of a group that is opened as a whole.
-GROUP_TOKENS, GROUP_CLASSES = 65_536, 256
+GROUP_TOKENS, GROUP_CLASSES, SIZES = 65_536, 256, 0.15
 BROADCAST_IDS = 4_000_000
 CACHED = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,17 +73,36 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_sets(texts: Sequence[bytes | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes, as signed integers, of each text in UTF-8."""
+    lists = [(t or b"").lower().split() for t in texts]
+    lengths = [len(x) for x in lists]
+    w = np.fromiter(map(_words.__getitem__, chain.from_iterable(lists)), np.uint64, sum(lengths))
+    rolled = w.copy()
+    for _ in range(width - 1):
+        # The value at i covers the words from i on; windows over a text's end are cut off below.
+        rolled[:-1] = rolled[1:]
+        rolled *= MIX
+        rolled += w
+    rolled = _stir(rolled).view(np.int64)
+    out, at = [], 0
+    for n in lengths:
+        if n >= width:
+            h = np.sort(rolled[at : at + n - width + 1])
+            out.append(h[np.concatenate(([True], h[1:] != h[:-1]))])
+        elif n:
+            short = np.full(1, n, np.uint64)
+            for i in range(at, at + n):
+                short = _stir(short * MIX + w[i : i + 1])
+            out.append(short.view(np.int64))
+        else:
+            out.append(np.empty(0, np.int64))
+        at += n
+    return out
+
+
 def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes, as signed integers, of a text in UTF-8."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    w = _stir(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
-    size = min(width, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
-    for j in range(size):
-        h = _stir(h * MIX + w[j : len(w) - size + 1 + j])
-    return np.unique(h.view(np.int64))
+    return shingle_sets([text], width)[0]
 
 
 def _key(s: np.ndarray) -> int:
@@ -99,8 +119,8 @@ def _sketched(docs: DataFrame, t: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                rows = [shingles(x.as_py(), width) for x in batch.column(1)]
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                rows = shingle_sets(batch.column(1).to_pylist(), width)
                 low = [int(np.searchsorted(s, LOW)) for s in rows]
                 kept = [s[: max(k, prefix_length(len(s), t)) if len(s) > WHOLE else len(s)] for s, k in zip(rows, low, strict=True)]
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in kept]))).astype(np.int32)
@@ -117,7 +137,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                rows = [shingles(x.as_py(), width) for x in batch.column(1)]
+                rows = shingle_sets(batch.column(1).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) if len(s) else None for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["_key", "_set"])
 
     return docs.mapInArrow(run, "_key long, _set binary")
@@ -141,7 +161,7 @@ def _class_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     met = keys.select("_key").distinct()
     ids = materialise(classes.join(met, "_key", "left_semi").select(F.col("_first").alias("_id")).distinct(), "ids")
     chosen = docs.join(_checked(ids), docs["_id"].eqNullSafe(ids["_id"]), "left_semi")
-    sets = materialise(_sets(chosen, width), "sets").where(F.col("_key").isNotNull())
+    sets = _sets(chosen, width).where(F.col("_key").isNotNull())
     return sets.groupBy("_key").agg(F.first("_set").alias("_set")).join(met, "_key", "left_semi")
 
 
@@ -261,6 +281,8 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = listed.groupBy("_token").agg(F.count("*").alias("_df")).where(F.col("_df") > 1)
     shared = listed.join(counts, "_token")
     shared = materialise(shared.select("_token", "_key", "_rank", "_df"), "tokens")
+    named = materialise(sketches.select("_id", "_key", "_n"), "named")
+    discard(sketches)
 
     of_class = Window.partitionBy("_key")
     before = of_class.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -269,41 +291,58 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.withColumn("_earlier", F.coalesce(F.sum("_off").over(before), F.lit(0))).withColumn("_all", F.sum("_off").over(of_class))
     place = F.when(F.col("_token") >= LOW, F.col("_rank")).when(F.col("_off") == 1, F.col("_low") - F.col("_all") + F.col("_earlier")).otherwise(F.col("_rank") - F.col("_earlier"))
     prefix = materialise(placed.where(place < F.expr(f"_n - ({t} * _n + 99) div 100 + 1")).select("_token", "_key", "_n", "_df"), "prefix")
+    discard(shared)
     rest = F.expr(f"({t} * _n + 99) div 100 - 1")
 
     # First components: rounds of checks of each class against a hub, the first by a hash of the round's own of those that
-    # share a token with it.  They only save work below; what they leave out is found there.
-    links, roots, found = None, None, 0
+    # share a token with it; after the first round only over tokens of boilerplate.  They only save work below; what they
+    # leave out is found there.
+    links, roots, found, live = None, None, 0, prefix.withColumn("_root", F.col("_key"))
     for turn in range(ROUNDS):
-        placed = prefix.withColumn("_root", F.col("_key")) if roots is None else _rooted(prefix, roots)
+        if turn:
+            live = _rooted((live if turn > 1 else live.where(F.col("_df") > FREQUENT)).drop("_root"), roots)
         order = F.struct(F.xxhash64("_key", F.lit(turn)).alias("h"), F.col("_key").alias("hub"), F.col("_root").alias("root"))
-        hubs = placed.groupBy("_token").agg(F.min(order).alias("_hub"), F.min("_root").alias("_r0"), F.max("_root").alias("_r1")).where(F.col("_r0") != F.col("_r1"))
-        spokes = placed.join(hubs.select("_token", "_hub"), "_token").where(F.col("_hub.root") != F.col("_root"))
-        spokes = spokes.groupBy("_key", "_n", F.col("_hub.hub").alias("_to")).agg(F.count("*").alias("_c")).where(F.col("_c") * 10 >= 3 * F.expr(f"_n - ({t} * _n + 99) div 100 + 1"))
+        hubs = live.groupBy("_token").agg(F.min(order).alias("_hub"), F.min("_root").alias("_r0"), F.max("_root").alias("_r1")).where(F.col("_r0") != F.col("_r1"))
+        spokes = live.join(hubs.select("_token", "_hub"), "_token").where(F.col("_hub.root") != F.col("_root"))
+        spokes = spokes.groupBy("_key", "_n", F.col("_hub.hub").alias("_to")).agg(F.count("*").alias("_c")).where(F.col("_c") * 2 >= F.expr(f"_n - ({t} * _n + 99) div 100 + 1"))
         best = spokes.groupBy("_key").agg(F.max(F.struct("_c", "_to")).alias("_b")).select(F.col("_b._to").alias("a"), F.col("_key").alias("b"))
         more = materialise(_verified(best, classes, docs, t, width), "links")
         links = more if links is None else links.unionByName(more)
         roots = components(links)
         new, found = more.count(), found + more.count()
-        if new * ENOUGH <= found:
+        if turn and new * ENOUGH <= found:
             break
 
-    # Boilerplate: classes grouped by the most frequent token of their prefix, and pairs of groups opened as wholes.
-    rooted = materialise(_rooted(prefix, roots), "rooted")
+    # What is left: tokens of several components.
+    rooted = _rooted(prefix, roots)
+    several = rooted.groupBy("_token").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1")).where(F.col("_r0") != F.col("_r1"))
+    often = prefix.groupBy("_key").agg(F.sum((F.col("_df") > FREQUENT).cast("int")).alias("_usual"))
+    rooted = materialise(rooted.join(several, "_token", "left_semi"), "rooted")
+    often = materialise(often, "usual")
+    discard(prefix)
+
+    # Boilerplate: links without a rarer token in common.  Classes are grouped by the most frequent token of their prefix and by
+    # size; pairs of groups are opened as wholes, for the members whose overlap with the other group allows a link.
     usual = rooted.where(F.col("_df") > FREQUENT)
-    anchored = usual.groupBy("_key").agg(F.first("_n").alias("_n"), F.first("_root").alias("_root"), F.max(F.struct("_df", "_token"))["_token"].alias("_anchor"))
+    anchored = usual.groupBy("_key").agg(F.first("_n").alias("_n"), F.first("_root").alias("_root"), F.max(F.struct("_df", "_token"))["_token"].alias("_token"))
+    anchored = anchored.select("_key", "_n", "_root", F.xxhash64("_token", F.floor(F.ln("_n") / SIZES)).alias("_anchor"))
     slices = anchored.groupBy("_anchor").agg(F.greatest(F.ceil(F.sum("_n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_CLASSES)).alias("_slices"))
     anchored = anchored.join(slices, "_anchor").withColumn("_slice", F.pmod(F.xxhash64("_key"), F.col("_slices"))).drop("_slices")
     anchored = materialise(anchored, "anchored")
-    spans = usual.select("_token", "_key").join(anchored, "_key").groupBy("_token", "_anchor", "_slice").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"))
-    # The token-group matrix, its spans of roots widened to whole groups below.
-    mine = spans.select("_token", F.struct("_anchor", "_slice").alias("_g"))
-    yours = spans.select("_token", F.struct("_anchor", "_slice").alias("_h"))
-    whole = anchored.groupBy(F.struct("_anchor", "_slice").alias("_g")).agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.min("_n").alias("_n0"), F.max("_n").alias("_n1"))
-    pairs = mine.join(yours, "_token").where(F.col("_g") <= F.col("_h")).select("_g", "_h").distinct().join(whole, "_g")
-    pairs = pairs.join(whole.select(F.col("_g").alias("_h"), *[F.col(c).alias(f"{c}h") for c in ("_r0", "_r1", "_n0", "_n1")]), "_h")
-    pairs = pairs.where((F.least("_r0", "_r0h") != F.greatest("_r1", "_r1h")) & (100 * F.col("_n1") >= t * F.col("_n0h")) & (100 * F.col("_n1h") >= t * F.col("_n0")))
-    pairs = materialise(pairs.select("_g", "_h"), "opened")
+    placed = usual.select("_token", "_key").join(anchored, "_key").withColumn("_g", F.struct("_anchor", "_slice"))
+    spans = placed.groupBy("_token", "_g").agg(F.min("_n").alias("_n0"), F.max("_n").alias("_n1"))
+    whole = anchored.groupBy(F.struct("_anchor", "_slice").alias("_h")).agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.min("_n").alias("_n0"), F.max("_n").alias("_n1"))
+    # Groups that share a token and may differ so much in size; then each class's overlap with the group.
+    sizes_fit = lambda n0, n1, m0, m1: (100 * F.col(n1) >= t * F.col(m0)) & (100 * F.col(m1) >= t * F.col(n0))
+    mine = placed.groupBy("_g", "_token").agg(F.count("*").alias("_many"), F.min("_n").alias("_m0"), F.max("_n").alias("_m1"))
+    pairs = mine.join(spans.withColumnRenamed("_g", "_h"), "_token").where(sizes_fit("_m0", "_m1", "_n0", "_n1"))
+    pairs = pairs.groupBy("_g", "_h").agg(F.count("*").alias("_tokens")).join(whole, "_h")
+    sized = anchored.groupBy(F.struct("_anchor", "_slice").alias("_g")).agg(F.min("_n").alias("_m0"), F.max("_n").alias("_m1"), F.min("_root").alias("_s0"), F.max("_root").alias("_s1"))
+    pairs = pairs.join(sized, "_g").where(F.least("_r0", "_s0") != F.greatest("_r1", "_s1"))
+    least = F.greatest(F.col("_n0"), F.ceil(t * F.col("_m0") / 100.0))
+    longest = F.greatest(F.expr(f"({t} * _m1 + 99) div 100 - 1"), F.expr(f"({t} * _n1 + 99) div 100 - 1"))
+    pairs = pairs.where(F.col("_tokens") + longest >= _needed(F.col("_m0"), least, t))
+    pairs = materialise(pairs.where(F.col("_g") <= F.col("_h")).select("_g", "_h"), "opened")
     used = pairs.select("_g").union(pairs.select(F.col("_h"))).distinct()
     inside = anchored.withColumn("_g", F.struct("_anchor", "_slice")).join(used, "_g", "left_semi").select("_g", "_key", "_root")
     sets = _class_sets(inside.select("_key"), classes, docs, width)
@@ -315,7 +354,6 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # The rest: classes that share a rarer token with a group of another component.
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("_size"))
-    often = rooted.groupBy("_key").agg(F.sum((F.col("_df") > FREQUENT).cast("int")).alias("_usual"))
     rare = rooted.where(F.col("_df") <= FREQUENT).join(sizes, F.col("_root") == F.col("root"), "left").drop("root")
     rare = rare.withColumn("_size", F.coalesce("_size", F.lit(1))).withColumn("_slice", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_size") / GROUP)))
     cells = materialise(rare.select("_token", "_key", "_n", "_root", "_slice", F.struct("_size", "_root").alias("_order")), "cells")
@@ -333,10 +371,9 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(links.unionByName(_verified(asked, classes, docs, t, width)), "links")
 
     roots = components(links)
-    named = classes.join(roots, classes["_key"] == roots["u"], "left").select("_key", F.coalesce("root", "_key").alias("_root"), "_first")
-    names = named.groupBy("_root").agg(F.min("_first").alias("_name"))
-    named = named.join(names, "_root").select("_key", "_name")
-    out = sketches.select("_id", "_key", "_n").join(named, "_key", "left")
+    naming = classes.join(roots, classes["_key"] == roots["u"], "left").select("_key", F.coalesce("root", "_key").alias("_root"), "_first")
+    names = naming.groupBy("_root").agg(F.min("_first").alias("_name"))
+    out = named.join(naming.join(names, "_root").select("_key", "_name"), "_key", "left")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_name", "_id").alias("component_id"))
 
 
