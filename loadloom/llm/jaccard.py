@@ -175,24 +175,32 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members in batch.column(1):
             inner = members.values
             sets = [np.frombuffer(q.as_buffer(), np.int64) for q in inner.field("_set")]
-            sizes = np.array([len(q) for q in sets])
-            tokens, rows = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+            sizes = inner.field("_n").to_numpy()
+            tokens, rows = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(q) for q in sets])
             order = np.argsort(tokens, kind="stable")
             for column, x in zip(out, (inner.field("_key").to_numpy(), inner.field("_root").to_numpy(), sizes, tokens[order], rows[order]), strict=True):
                 column.append(x.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in out)], names=["_g", "_keys", "_roots", "_sizes", "_tokens", "_rows"])
 
 
-def _group_links(left, right, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links between members of two groups that are of different components."""
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's lists of tokens as bytes."""
+    for batch in batches:
+        lists = batch.column(4)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.values.to_numpy().tobytes() for x in lists], pa.binary())], names=["_g", "_key", "_root", "_n", "_set"])
+
+
+def _group_links(left, right, t: int, prefixes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links between members of two groups that are of different components; with ``prefixes``, where the
+    groups have only tokens of their members' prefixes, the members on either side that may be linked."""
     (ka, ra, na, ta, ia), (kb, rb, nb, tb, ib) = left, right
     hit = np.minimum(np.searchsorted(tb, ta), len(tb) - 1)
     sa = tb[hit] == ta
     hit = np.minimum(np.searchsorted(ta, tb), len(ta) - 1)
     sb = ta[hit] == tb
     # The overlap with a group's union bounds that with its members.
-    qa = 100 * np.bincount(ia[sa], minlength=len(ka)) >= t * na
-    qb = 100 * np.bincount(ib[sb], minlength=len(kb)) >= t * nb
+    qa, qb = np.bincount(ia[sa], minlength=len(ka)), np.bincount(ib[sb], minlength=len(kb))
+    qa, qb = (qa > 0, qb > 0) if prefixes else (100 * qa >= t * na, 100 * qb >= t * nb)
     if not qa.any() or not qb.any():
         return ka[:0], kb[:0]
     sa &= qa[ia]
@@ -208,11 +216,16 @@ def _group_links(left, right, t: int) -> tuple[np.ndarray, np.ndarray]:
             use[use] = vocabulary[places[use]] == tokens[use]
             x[rows[use], places[use] - at] = 1
         shared += m @ n.T
-    good = (100 * shared >= t * (na[fa][:, None] + nb[fb][None, :] - shared)) & (ra[fa][:, None] != rb[fb][None, :])
+    xa, xb = na[fa][:, None], nb[fb][None, :]
+    if prefixes:  # all other tokens that can be shared lie beyond the prefix of one of the two
+        shared = shared + np.maximum(-(-t * xa // 100), -(-t * xb // 100)) - 1
+    good = (100 * shared >= t * (xa + xb - shared)) & (100 * np.minimum(xa, xb) >= t * np.maximum(xa, xb)) & (ra[fa][:, None] != rb[fb][None, :])
     i, j = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
     good = good[np.ix_(i, j)]
     if not good.size:
         return ka[:0], kb[:0]
+    if prefixes:
+        return ka[fa[i]], kb[fb[j]]
     # Labels pass to and fro until each holds the least of its component.
     la = np.arange(len(i))
     while True:
@@ -227,14 +240,29 @@ def _group_links(left, right, t: int) -> tuple[np.ndarray, np.ndarray]:
     return u[u != v], v[u != v]
 
 
+def _may_link(t: int):
+    """The pairs of groups for which some pair of members may be linked, with those members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.concatenate(_group_links(*_sides(batch, k, 2), t, prefixes=True)) for k in range(batch.num_rows)]
+            kept = pa.array([len(x) > 0 for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array([x for x in found if len(x)], pa.list_(pa.int64()))], names=["_g", "_h", "_keys"])
+
+    return run
+
+
+def _sides(batch: pa.RecordBatch, k: int, first: int) -> list[list[np.ndarray]]:
+    kinds = (np.int64,) * 4 + (np.int32,)
+    return [[np.frombuffer(batch.column(first + 5 * side + c)[k].as_buffer(), kinds[c]) for c in range(5)] for side in (0, 1)]
+
+
 def _open(t: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int64,) * 4 + (np.int32,)
         for batch in batches:
             u, v = [], []
             for k in range(batch.num_rows):
-                sides = [[np.frombuffer(batch.column(5 * side + c)[k].as_buffer(), kinds[c]) for c in range(5)] for side in (0, 1)]
-                a, b = _group_links(*sides, t)
+                a, b = _group_links(*_sides(batch, k, 2), t)
                 u.append(a)
                 v.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
@@ -342,15 +370,24 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = F.greatest(F.col("_n0"), F.ceil(t * F.col("_m0") / 100.0))
     longest = F.greatest(F.expr(f"({t} * _m1 + 99) div 100 - 1"), F.expr(f"({t} * _n1 + 99) div 100 - 1"))
     pairs = pairs.where(F.col("_tokens") + longest >= _needed(F.col("_m0"), least, t))
-    pairs = materialise(pairs.where(F.col("_g") <= F.col("_h")).select("_g", "_h"), "opened")
-    used = pairs.select("_g").union(pairs.select(F.col("_h"))).distinct()
-    inside = anchored.withColumn("_g", F.struct("_anchor", "_slice")).join(used, "_g", "left_semi").select("_g", "_key", "_root")
+    pairs = materialise(pairs.where(F.col("_g") <= F.col("_h")).select("_g", "_h"), "met")
+
+    def paired(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """Pairs with what both groups hold; ``members``: _g, _key, _root, _n, _set."""
+        packs = materialise(members.groupBy("_g").agg(F.collect_list(F.struct("_key", "_root", "_n", "_set")).alias("_members")).mapInArrow(_pack, PACK), "packs")
+        parts = [c for c in packs.columns if c != "_g"]
+        both = pairs.join(packs, "_g").select("_g", "_h", *[F.col(c).alias(f"left{c}") for c in parts])
+        return both.join(packs.select(F.col("_g").alias("_h"), *parts), "_h").select("_g", "_h", *[f"left{c}" for c in parts], *parts)
+
+    # The union of a group's tokens of boilerplate first, its members' whole sets where that allows a link.
+    tokens = placed.groupBy("_g", "_key", "_root", "_n").agg(F.collect_list("_token").alias("_set"))
+    pairs = paired(pairs, tokens.mapInArrow(_as_bytes, "_g struct<_anchor: long, _slice: long>, _key long, _root long, _n long, _set binary"))
+    pairs = materialise(pairs.mapInArrow(_may_link(t), "_g struct<_anchor: long, _slice: long>, _h struct<_anchor: long, _slice: long>, _keys array<long>"), "opened")
+    able = pairs.select(F.explode("_keys").alias("_key")).distinct()
+    inside = anchored.withColumn("_g", F.struct("_anchor", "_slice")).join(able, "_key", "left_semi").select("_g", "_key", "_root", "_n")
     sets = _class_sets(inside.select("_key"), classes, docs, width)
-    packs = materialise(inside.join(sets, "_key").groupBy("_g").agg(F.collect_list(F.struct("_key", "_root", "_set")).alias("_members")).mapInArrow(_pack, PACK), "packs")
-    parts = [c for c in packs.columns if c != "_g"]
-    both = pairs.join(packs, "_g").select("_h", *[F.col(c).alias(f"left{c}") for c in parts])
-    both = both.join(packs.select(F.col("_g").alias("_h"), *parts), "_h").drop("_h")
-    links = links.unionByName(both.mapInArrow(_open(t), "u long, v long"))
+    links = links.unionByName(paired(pairs.select("_g", "_h"), inside.join(sets, "_key")).mapInArrow(_open(t), "u long, v long"))
+    links = materialise(links, "links")
 
     # The rest: classes that share a rarer token with a group of another component.
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("_size"))

@@ -134,12 +134,14 @@ def surprise(model: dict, g: np.ndarray) -> np.ndarray:
 
 def _by_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
     """Adds ``_nll`` to lang, text and others; text is dropped."""
-    collected = model.toArrow()
+    found = model.select("lang", (F.col("k") * 2 + (F.col("kind") == "p").cast("int")).cast("byte").alias("of"), "g", F.col("v")).orderBy("lang", "of", "g").toArrow()
+    langs = found.column("lang").combine_chunks().dictionary_encode()
+    ofs, gs, vs = (found.column(c).to_numpy() for c in ("of", "g", "v"))
+    starts = np.flatnonzero(np.diff(langs.indices.to_numpy(), prepend=-1) | np.diff(ofs, prepend=ofs[:1] - 1)) if len(ofs) else []
     arrays: dict[str, dict] = {}
-    frame = collected.to_pandas()
-    for (lang, kind, k), part in frame.groupby(["lang", "kind", "k"]):
-        order = np.argsort(part.g.to_numpy())
-        arrays.setdefault(lang, {})[kind, int(k)] = (part.g.to_numpy()[order], part.v.to_numpy()[order])
+    for a, b in zip(starts, [*starts[1:], len(ofs)], strict=True):
+        arrays.setdefault(langs[int(a)].as_py(), {})["p" if ofs[a] % 2 else "w", int(ofs[a]) // 2] = (gs[a:b].copy(), vs[a:b].copy())
+    del found, ofs, gs, vs
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
     kept = [f for f in docs.schema.fields if f.name != "_text"]
     columns = [docs.columns.index(f.name) for f in kept]
