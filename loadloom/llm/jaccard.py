@@ -47,7 +47,7 @@ CUTOFF, FREQUENT, GROUP, WHOLE = 0.30, 32, 32, 32
 #: Rounds of first checks, which end when one adds less than a part in ENOUGH of the links.
 ROUNDS, ENOUGH = 4, 10
 #: Of a group that is opened as a whole.
-GROUP_TOKENS, GROUP_CLASSES, SIZES = 65_536, 256, 0.15
+GROUP_TOKENS, GROUP_CLASSES, SIZES = 131_072, 512, 0.15
 BROADCAST_IDS = 4_000_000
 CACHED = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -244,10 +244,15 @@ def _may_link(t: int):
     """The pairs of groups for which some pair of members may be linked, with those members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()  # members that this task has named
         for batch in batches:
-            found = [np.concatenate(_group_links(*_sides(batch, k, 2), t, prefixes=True)) for k in range(batch.num_rows)]
+            found = [np.concatenate(_group_links(*_sides(batch, k, 2), t, prefixes=True)).tolist() for k in range(batch.num_rows)]
             kept = pa.array([len(x) > 0 for x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array([x for x in found if len(x)], pa.list_(pa.int64()))], names=["_g", "_h", "_keys"])
+            new = []
+            for x in filter(None, found):
+                new.append([y for y in x if y not in told])
+                told.update(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(new, pa.list_(pa.int64()))], names=["_g", "_h", "_keys"])
 
     return run
 
@@ -353,7 +358,10 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # size; pairs of groups are opened as wholes, for the members whose overlap with the other group allows a link.
     usual = rooted.where(F.col("_df") > FREQUENT)
     anchored = usual.groupBy("_key").agg(F.first("_n").alias("_n"), F.first("_root").alias("_root"), F.max(F.struct("_df", "_token"))["_token"].alias("_token"))
-    anchored = anchored.select("_key", "_n", "_root", F.xxhash64("_token", F.floor(F.ln("_n") / SIZES)).alias("_anchor"))
+    anchored = anchored.withColumn("_sized", F.floor(F.ln("_n") / SIZES))
+    amounts = anchored.groupBy("_sized").agg(F.greatest(F.ceil(F.sum("_n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_CLASSES)).alias("_parts"))
+    anchored = anchored.join(F.broadcast(amounts), "_sized")  # as many rows as there are magnitudes of sizes
+    anchored = anchored.select("_key", "_n", "_root", F.xxhash64("_sized", F.pmod(F.xxhash64("_token"), F.col("_parts"))).alias("_anchor"))
     slices = anchored.groupBy("_anchor").agg(F.greatest(F.ceil(F.sum("_n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_CLASSES)).alias("_slices"))
     anchored = anchored.join(slices, "_anchor").withColumn("_slice", F.pmod(F.xxhash64("_key"), F.col("_slices"))).drop("_slices")
     anchored = materialise(anchored, "anchored")
