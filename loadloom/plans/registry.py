@@ -22,3 +22,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return keep
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from . import allocation, comparison, nodal, stochastic, weights  # noqa: F401
