@@ -1 +1,68 @@
-"""Queries."""
+"""Queries of levels, allocation and rounding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import allocation as A
+from ..operators import relational as R
+from . import fixtures as X
+from .registry import query
+
+NODES = "nodes AS (SELECT p_partkey AS node, p_brand AS base, (p_size - 8)::DOUBLE AS level, (p_partkey % 2)::INT AS block FROM part)"
+
+
+def _nodes(s, d):
+    return X.read(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("base"), (F.col("p_size") - 8).cast("double").alias("level"), (F.col("p_partkey") % 2).cast("int").alias("block"))
+
+
+LEVEL_SQL = {
+    "net-base": """x AS (SELECT *, CASE WHEN sum(greatest(level, 0)) OVER b > 0 THEN greatest(level, 0) * greatest(sum(level) OVER b, 0) / sum(greatest(level, 0)) OVER b ELSE 0 END AS l
+      FROM nodes WINDOW b AS (PARTITION BY block, base))""",
+    "zero": "x AS (SELECT *, greatest(level, 0) AS l FROM nodes)",
+    "participate": "x AS (SELECT *, level AS l FROM nodes)",
+}
+for mode, text in LEVEL_SQL.items():
+
+    @query(f"level_shares_{mode.replace('-', '_')}", f"WITH {NODES}, {text} SELECT node, block, round(l / sum(l) OVER (PARTITION BY block), 9) AS share FROM x")
+    def level_shares(s, d, mode=mode):
+        return A.level_shares(_nodes(s, d), mode).select("node", "block", F.round("share", 9).alias("share"))
+
+
+@query("net_to_gross", f"WITH {NODES} SELECT base, round(abs(sum(level)) / nullif(sum(abs(level)), 0), 9) AS kappa FROM nodes GROUP BY base")
+def net_to_gross(s, d):
+    return _nodes(s, d).groupBy("base").agg(F.round(F.abs(F.sum("level")) / F.nullif(F.sum(F.abs("level")), F.lit(0.0)), 9).alias("kappa"))
+
+
+@query("largest_remainder", """WITH x AS (SELECT s_nationkey AS k, s_suppkey AS o, abs(s_acctbal) / 7 AS v FROM supplier),
+  u AS (SELECT *, floor(v * 10 + 1e-9)::BIGINT AS u, v * 10 - floor(v * 10 + 1e-9) AS r FROM x),
+  g AS (SELECT *, round_even(sum(v) OVER (PARTITION BY k) * 10, 0)::BIGINT - sum(u) OVER (PARTITION BY k) AS gap, row_number() OVER (PARTITION BY k ORDER BY r DESC, o) AS up FROM u)
+  SELECT k, o, (u + (up <= gap)::INT) / 10.0::DOUBLE AS printed FROM g""")
+def largest_remainder(s, d):
+    x = X.read(s, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("o"), (F.abs("s_acctbal") / 7).alias("v"))
+    return R.round_to_printed(x, ["k"], "v", "o", 1).select("k", "o", "printed")
+
+
+COVER = """n AS (SELECT s_suppkey AS node, s_nationkey AS county, greatest(s_acctbal, 0) AS weight, s_suppkey % 3 <> 0 AS covered FROM supplier),
+  c AS (SELECT county, count(*) / (sum(count(*)) OVER ())::DOUBLE AS fraction FROM n GROUP BY county),
+  q AS (SELECT *, count(*) OVER p AS cn, sum((NOT covered)::INT) OVER p AS u, sum(CASE WHEN covered THEN weight ELSE 0 END) OVER p AS t FROM n JOIN c USING (county) WINDOW p AS (PARTITION BY county))"""
+
+
+@query("county_first_shares", f"""WITH {COVER} SELECT node, county, round(fraction * CASE WHEN t <= 0 THEN 1.0 / cn WHEN covered THEN (1 - u / cn) * weight / t
+  ELSE (CASE WHEN t > 0 THEN u / cn ELSE 1 END) / u END, 9) AS share FROM q""")
+def county_first_shares(s, d):
+    n = X.read(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("county"), F.greatest("s_acctbal", F.lit(0.0)).alias("weight"), (F.col("s_suppkey") % 3 != 0).alias("covered"))
+    total = n.agg(F.count("*").alias("_all"))
+    c = n.groupBy("county").agg(F.count("*").alias("_n")).crossJoin(total).select("county", (F.col("_n") / F.col("_all")).alias("fraction"))
+    return A.county_first(n, c).select("node", "county", F.round("share", 9).alias("share"))
+
+
+DEMAND = "demand AS (SELECT t, region AS zone, mw FROM series), shares(zone, share) AS (VALUES (0, 0.5), (1, 0.3), (2, 0.2))"
+for hold in (False, True):
+
+    @query(f"rescale_{'hold' if hold else 'full'}", X.sql(f""", {DEMAND}, tot AS (SELECT t, sum(mw) AS total FROM demand {'WHERE zone < 3' if hold else ''} GROUP BY t)
+      SELECT t, zone, round(total * share, 5) AS mw FROM tot, shares UNION ALL SELECT t, zone, {'round(mw, 5)' if hold else '0.0'} FROM demand WHERE zone >= 3"""))
+    def rescaled(s, d, hold=hold):
+        demand = X.series(s, d).withColumnRenamed("region", "zone")
+        shares = s.createDataFrame([(0, 0.5), (1, 0.3), (2, 0.2)], "zone int, share double")
+        return A.rescale(demand, shares, hold).withColumn("mw", F.round("mw", 5))

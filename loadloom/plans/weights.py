@@ -90,11 +90,11 @@ def unit_ranks(s, d):
     return R.min_rank(monthly, ["month"], "a").select("unit", "month", "rank")
 
 
-@query("level_grouping_sets", X.sql(f""", {AVG} SELECT unit, month, hour, round(avg(avg_load), 5) AS avg_load, count(*)::BIGINT AS n FROM loads
+@query("level_grouping_sets", X.sql(f""", {AVG} SELECT unit, coalesce(month, -1) AS month, coalesce(hour, -1) AS hour, round(avg(avg_load), 5) AS avg_load, count(*)::BIGINT AS n FROM loads
   GROUP BY GROUPING SETS ((unit), (unit, month), (unit, hour))"""))
 def level_grouping_sets(s, d):
     u, m, h = F.col("unit"), F.col("month"), F.col("hour")
-    return _loads(s, d).groupingSets([[u], [u, m], [u, h]], u, m, h).agg(F.round(F.avg("avg_load"), 5).alias("avg_load"), F.count("*").alias("n"))
+    return _loads(s, d).groupingSets([[u], [u, m], [u, h]], u, m, h).agg(F.round(F.avg("avg_load"), 5).alias("avg_load"), F.count("*").alias("n")).fillna(-1, ["month", "hour"])
 
 
 @query("peak_hour", X.sql(f", {AVG} SELECT unit, month, hour FROM loads QUALIFY row_number() OVER (PARTITION BY unit, month ORDER BY avg_load DESC, hour) = 1"))
