@@ -139,7 +139,7 @@ def _by_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
     ofs, gs, vs = (found.column(c).to_numpy() for c in ("of", "g", "v"))
     starts = np.flatnonzero(np.diff(langs.indices.to_numpy(), prepend=-1) | np.diff(ofs, prepend=ofs[:1] - 1)) if len(ofs) else []
     arrays: dict[str, dict] = {}
-    for a, b in zip(starts, [*starts[1:], len(ofs)], strict=True):
+    for a, b in zip(starts, [*starts[1:], len(ofs)][: len(starts)], strict=True):
         arrays.setdefault(langs[int(a)].as_py(), {})["p" if ofs[a] % 2 else "w", int(ofs[a]) // 2] = (gs[a:b].copy(), vs[a:b].copy())
     del found, ofs, gs, vs
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
