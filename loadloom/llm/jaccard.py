@@ -49,7 +49,7 @@ ROUNDS, ENOUGH = 4, 10
 #: Of a group that is opened as a whole.
 GROUP_TOKENS, GROUP_CLASSES, SIZES = 131_072, 512, 0.15
 BROADCAST_IDS = 4_000_000
-CACHED = 400_000
+CACHED = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOW = int(CUTOFF * 2**64) - 2**63
 
