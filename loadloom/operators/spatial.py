@@ -47,3 +47,19 @@ def inside(point_x, point_y, ring):
         return (((a["y"] > point_y) != (b["y"] > point_y)) & (point_x < (b["x"] - a["x"]) * (point_y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"])).cast("int")
 
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda t, i: t + F.coalesce(crosses(i), F.lit(0))) % 2 == 1
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Pairs within ``km`` of which each is the other's nearest; ties go to the smaller key."""
+    near = within_km(left, right, km)
+    near = near.withColumn("_a", F.row_number().over(Window.partitionBy("k").orderBy("km", "other")))
+    near = near.withColumn("_b", F.row_number().over(Window.partitionBy("other").orderBy("km", "k")))
+    return near.where("_a = 1 AND _b = 1").drop("_a", "_b")
+
+
+def nearest_of_class(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """The nearest within ``km`` of the row's own class, else of any; both sides have class too."""
+    near = within_km(left, right, km).join(left.select("k", F.col("class").alias("_c")), "k").join(right.select(F.col("k").alias("other"), F.col("class").alias("_o")), "other")
+    near = near.withColumn("same", F.col("_c").eqNullSafe(F.col("_o")))
+    w = Window.partitionBy("k").orderBy(F.desc("same"), "km", "other")
+    return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_c", "_o")
