@@ -20,10 +20,12 @@ def pool_shares(nodes: DataFrame, gate: float, top_off: bool = True) -> DataFram
     bare = (~F.col("covered")).cast("double")
     total = pool.agg(F.count("*").alias("_n"), F.sum(bare).alias("_u"), F.sum(F.when(F.col("covered"), F.col("weight")).otherwise(0.0)).alias("_w"))
     beta = F.col("_u") / F.col("_n") if top_off else F.lit(0.0)
-    weight = F.when(F.col("_w") > 0, F.col("weight") / F.when(F.col("_w") > 0, F.col("_w"))).otherwise(F.raise_error(F.lit("no covered node has weight")).cast("double"))
+    weight = F.col("weight") / F.when(F.col("_w") > 0, F.col("_w"))
     even = F.when(F.col("_u") > 0, beta / F.when(F.col("_u") > 0, F.col("_u")))
     joined = pool.crossJoin(F.broadcast(total))  # a single row
-    return joined.withColumn("share", F.when(F.col("covered"), (1 - beta) * weight).otherwise(even)).drop("_n", "_u", "_w")
+    share = F.when(F.col("covered"), (1 - beta) * weight).otherwise(even)
+    refused = F.raise_error(F.lit("no covered node has weight")).cast("double")
+    return joined.withColumn("share", F.when(F.col("_w") > 0, share).otherwise(refused)).drop("_n", "_u", "_w")
 
 
 def hold_shares(nodes: DataFrame) -> DataFrame:

@@ -66,10 +66,10 @@ def fallback_shapes(s, d):
     return C.shapes_with_fallback(X.units(s, d), own, own, 2).withColumn("shape", F.round("shape", 6))
 
 
-@query("envelope_problems", X.sql("""SELECT problem, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter([CASE WHEN min_load = max_load THEN 'zero width' END, CASE WHEN min_load < 3 THEN 'low' END,
-  CASE WHEN max_load > 45 THEN 'high' END], lambda x: x IS NOT NULL)) AS problem FROM profiles) GROUP BY problem"""))
+@query("envelope_problems", X.sql("""SELECT problem, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter([CASE WHEN lo = hi THEN 'zero width' END, CASE WHEN lo < 3 THEN 'low' END,
+  CASE WHEN hi > 45 THEN 'high' END], lambda x: x IS NOT NULL)) AS problem FROM (SELECT round(min_load, 6) AS lo, round(max_load, 6) AS hi FROM profiles)) GROUP BY problem"""))
 def envelope_problems(s, d):
-    low, high = F.col("min_load"), F.col("max_load")
+    low, high = F.round("min_load", 6), F.round("max_load", 6)
     return C.problems(X.profiles(s, d), {"zero width": low == high, "low": low < 3, "high": high > 45, "inverted": low > high})
 
 
@@ -105,9 +105,9 @@ def distance_bands(s, d):
     return C.distance_bands(P.k_nearest(left, right, 1, 100.0), "km", (1, 5, 20, 50)).withColumn("median_km", F.round("median_km", 6))
 
 
-@query("common_value", "SELECT l_suppkey AS unit, l_returnflag AS mode, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_returnflag) = 1")
+@query("common_value", "WITH c AS (SELECT l_suppkey AS unit, l_returnflag AS flag, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2) SELECT unit, flag, n FROM c QUALIFY row_number() OVER (PARTITION BY unit ORDER BY n DESC, flag) = 1")
 def common_value(s, d):
-    return C.common_value(X.read(s, d, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("mode")), ["unit"], "mode")
+    return C.common_value(X.read(s, d, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("flag")), ["unit"], "flag")
 
 
 @query("class_percentages", "SELECT p_brand AS brand, round(100 * count(*) FILTER (p_size < 17) / count(*)::DOUBLE, 6) AS small, round(100 * count(*) FILTER (p_size >= 17) / count(*)::DOUBLE, 6) AS large FROM part GROUP BY 1")
