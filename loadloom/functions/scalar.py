@@ -13,6 +13,9 @@ ACKLAM_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
 ACKLAM_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
 ACKLAM_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
 ACKLAM_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+#: Hart's rational approximation of the normal distribution function, as given by West.
+HART_A = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+HART_B = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 #: Voltage classes and the limits between them.
 VOLTAGES, LIMITS = (66, 115, 230, 500), (87.1, 162.6, 339.1)
 
@@ -34,6 +37,16 @@ def normal_quantile(p: Column) -> Column:
     return F.when((p > 0) & (p < low), lower).when((p >= low) & (p <= 1 - low), middle).when((p > 1 - low) & (p < 1), upper)
 
 
+def normal_cdf(x: Column) -> Column:
+    a = F.abs(x)
+    near = _horner(a, HART_A) / _horner(a, HART_B)
+    far = a + 0.65
+    for i in (4.0, 3.0, 2.0, 1.0):
+        far = a + i / far
+    tail = F.exp(-a * a / 2) * F.when(a < 7.07106781186547, near).otherwise(1 / far / 2.506628274631)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
+
 def hash_uniform(*parts: Column) -> Column:
     """A number in (0, 1) that depends on its parts only, not on how rows are dealt."""
     digits = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)
@@ -42,7 +55,7 @@ def hash_uniform(*parts: Column) -> Column:
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # null where a coordinate is
 
 
 def voltage_class(kv: Column) -> Column:

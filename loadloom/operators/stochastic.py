@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import Z90, hash_uniform, normal_quantile
+from ..functions.scalar import Z90, hash_uniform, normal_cdf, normal_quantile
 
 
 def fit_envelope(profiles: DataFrame) -> DataFrame:
@@ -44,8 +44,15 @@ def system_cells(series: DataFrame, envelope: DataFrame) -> DataFrame:
     return out.withColumn("rho", F.least(F.lit(1.0), F.pow(F.col("f") * F.col("sd") / F.nullif("sigma", F.lit(0.0)), 2)))
 
 
-def generate(envelope: DataFrame, z: DataFrame, cells: DataFrame, seed: int, draw: int) -> DataFrame:
-    """mu + sigma (sqrt(rho) z + sqrt(1 - rho) eps), eps by unit and day from a hash, so that it does not depend on how rows are dealt."""
-    eps = normal_quantile(hash_uniform(F.lit(str(seed)), F.lit(str(draw)), F.col("unit").cast("string"), F.date_format("t", "yyyy-MM-dd")))
+def generate(envelope: DataFrame, z: DataFrame, cells: DataFrame, seed: int, draw: int, family: str = "normal", hourly: bool = False, scale: float = 1.0) -> DataFrame:
+    """mu + sigma w, w = sqrt(rho) z + sqrt(1 - rho) eps, eps by unit and day, or hour, from a hash, so that it does not depend on how rows are dealt.
+
+    ``uniform`` sends w through the normal distribution function to the uniform load of the same 10th and 90th percentiles."""
+    if family not in ("normal", "uniform"):
+        raise ValueError(f"unknown family: {family}")
+    when = F.date_format("t", "yyyy-MM-dd HH" if hourly else "yyyy-MM-dd")
+    eps = normal_quantile(hash_uniform(F.lit(str(seed)), F.lit(str(draw)), F.col("unit").cast("string"), when))
     joined = z.join(F.broadcast(cells.select("hour", "rho")), "hour").join(envelope, "hour")  # as many rows as there are hours
-    return joined.withColumn("load", F.col("mu") + F.col("sigma") * (F.sqrt("rho") * F.col("z") + F.sqrt(1 - F.col("rho")) * eps))
+    w = F.sqrt("rho") * F.col("z") + F.sqrt(1 - F.col("rho")) * eps
+    step = w if family == "normal" else Z90 / 0.8 * (2 * normal_cdf(w) - 1)
+    return joined.withColumn("load", scale * (F.col("mu") + F.col("sigma") * step))

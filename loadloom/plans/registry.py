@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import allocation, comparison, learning, matching, nodal, scenarios, statistics, stochastic, weights  # noqa: F401
+    from . import allocation, checks, comparison, learning, matching, nodal, scenarios, statistics, stochastic, weights  # noqa: F401
