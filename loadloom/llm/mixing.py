@@ -17,7 +17,7 @@ Only the table of sources, one row each, is ordered in a single task.
 Edge cases: a null source is a source of its own, after all others; null and empty texts have size 0; a
 source without words has the target 0 and is not taken; an empty table gives an empty result; repeated rows
 are rows of their own; equal ids are ordered by size.  Columns of the input that clash with the columns made
-here are replaced by them.
+here are replaced by them; those that clash with names used on the way are kept.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import table, word_count
 
 MADE = ("size", "source_size", "target", "copies", "taken", "positions", "first_position")
+INNER = ("_key", "_digest", "_group", "_words", "_offset", "_start", "_rank", "_tilt", "_wanted")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -63,6 +64,9 @@ def curriculum(
     """All rows and columns of ``docs`` with size, source_size, target, copies, taken, the ``positions`` of the copies in
     [0, 1) and the first of them."""
     docs = docs.drop(*[c for c in MADE if c not in (id_col, text_col, source_col)])
+    aside = {c: f"input {c}" for c in docs.columns if c.lower() in INNER}
+    docs = docs.withColumnsRenamed(aside)
+    id_col, text_col, source_col = (aside.get(c, c) for c in (id_col, text_col, source_col))
     base = (
         docs.withColumn("size", word_count(F.col(text_col)))
         .withColumn("_key", F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")))
@@ -96,6 +100,7 @@ def curriculum(
         .withColumn("positions", F.transform("_wanted", time))
         .withColumn("first_position", F.get("positions", F.lit(0)))
         .select(*docs.columns, *MADE)
+        .withColumnsRenamed({away: c for c, away in aside.items()})
     )
 
 
