@@ -82,7 +82,8 @@ def identify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
     """``id_col``, ``lang``, ``probability``, ``text_lang``, ``declared`` and ``host``."""
     langs, table_ = text_models(labelled)
     if not langs:
-        return pages.select(id_col, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"))
+        none = F.lit(None).cast("string")
+        return pages.select(id_col, none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), none.alias("declared"), host_and_path(F.col(url_col))[0].alias("host"))
     shared = pages.sparkSession.sparkContext.broadcast((langs, table_.astype(np.float32)))
     host, _ = host_and_path(F.col(url_col))
     cut = pages.select(F.col(id_col), host.alias("host"), F.col(html_col).alias("_html"))
@@ -121,7 +122,7 @@ def identify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
     def likelihoods(column: str) -> DataFrame:
         """ln P(value | language)."""
         found = seen.groupBy(column).agg(*votes)
-        values = found.count()
+        values = max(1, found.count())
         return found.select(column, every(lambda i: F.ln((F.col(f"v{i}") + EVIDENCE / values) / ((total[i] or 0) + EVIDENCE))).alias(f"_{column}_log"))
 
     met = seen.join(_checked(likelihoods("declared")), "declared").join(_checked(likelihoods("_suffix")), "_suffix").join(hosts, "host")
