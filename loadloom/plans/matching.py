@@ -140,11 +140,11 @@ def expanded_totals(s, d):
     return U.expanded(series, _slack(s, d)).groupBy("node").agg(F.round(F.sum("mw"), 4).alias("energy"), F.count("*").alias("hours"))
 
 
-@query("filled_surface", X.sql("""{}, g AS (SELECT * FROM sv WHERE cell % 3 <> 0) SELECT u.unit, c.cell, round(coalesce(value, mean), 6) AS value, value IS NULL AS gap
+@query("filled_surface", X.sql("""{}, g AS (SELECT * FROM sv WHERE cell % 3 <> 0) SELECT u.unit, c.cell, round(coalesce(value, mean), 9) AS value, value IS NULL AS gap
   FROM (SELECT unit, avg(value) AS mean FROM g GROUP BY unit) u CROSS JOIN (SELECT DISTINCT cell FROM sv) c LEFT JOIN g ON g.unit = u.unit AND g.cell = c.cell""".format(SURFACE)))
 def filled_surface(s, d):
     surface = _surface(s, d)
-    return U.filled(surface.where("cell % 3 <> 0"), surface).withColumn("value", F.round("value", 6))
+    return U.filled(surface.where("cell % 3 <> 0"), surface).withColumn("value", F.round("value", 9))
 
 
 @query("without_common", X.sql(f"""{SURFACE}, a AS (SELECT unit, cell, shape / avg(shape) OVER (PARTITION BY cell) AS x FROM sh) SELECT unit, cell, round(x / avg(x) OVER (PARTITION BY unit), 6) AS shape FROM a"""))
