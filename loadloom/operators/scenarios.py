@@ -133,3 +133,11 @@ def common_value(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("_b")
     return counts.groupBy(*keys).agg(best).select(*keys, F.col("_b.v").alias(value), (-F.col("_b.m")).alias("n"))
+
+
+def overlaid(baseline: DataFrame, scale: float, overlays: DataFrame, reductions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target by ``keys``: baseline (keys, mw) times ``scale``, plus overlays, less reductions; both are summed first, and hours without them have none."""
+    extra = overlays.groupBy(*keys).agg(F.sum("mw").alias("_plus"))
+    less = reductions.groupBy(*keys).agg(F.sum("mw").alias("_less"))
+    met = baseline.join(extra, list(keys), "left").join(less, list(keys), "left")
+    return met.withColumn("mw", scale * F.col("mw") + F.coalesce("_plus", F.lit(0.0)) - F.coalesce("_less", F.lit(0.0))).drop("_plus", "_less")

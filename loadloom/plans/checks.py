@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import envelopes as V
 from ..operators import placement as L
 from ..operators import reports as K
+from ..operators import scenarios as C
 from ..operators import spatial as P
 from ..operators import stochastic as E
 from . import fixtures as X
@@ -258,3 +259,20 @@ def uniform_draw(s, d):
 @query("normal_cdf")
 def normal_cdf(s, d):
     return X.read(s, d, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("k"), S.normal_cdf(F.col("s_suppkey") / 100.0 - 4).alias("p"))
+
+
+@query("coordinate_overrides", """SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN p_size + 0.5::DOUBLE ELSE o.lat END AS lat, CASE WHEN p_size > 25 THEN 'own' WHEN o.lat IS NOT NULL THEN 'override' ELSE 'none' END AS coordinates
+  FROM part LEFT JOIN (SELECT p_brand AS owner, p_name AS name, min(p_partkey)::DOUBLE AS lat FROM part WHERE p_size <= 5 GROUP BY ALL) o ON o.owner = p_brand AND o.name = p_name""")
+def coordinate_overrides(s, d):
+    x = X.read(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("owner"), F.col("p_name").alias("name"), "p_size")
+    own = F.when(F.col("p_size") > 25, F.col("p_size") + 0.5)
+    given = x.where("p_size <= 5").groupBy("owner", "name").agg(F.min("k").cast("double").alias("lat")).withColumn("lon", F.col("lat"))
+    return L.overridden(x.withColumns({"lat": own, "lon": own}), given).select("k", "lat", "coordinates")
+
+
+@query("overlaid_target", X.sql(""", a AS (SELECT t, mw FROM series WHERE region = 0), b AS (SELECT t, sum(mw) AS mw FROM series WHERE region IN (1, 2) GROUP BY t), c AS (SELECT t, mw FROM series WHERE region = 3)
+  SELECT a.t, round(1.25::DOUBLE * a.mw + coalesce(b.mw, 0) - coalesce(c.mw, 0), 5) AS mw FROM a LEFT JOIN b USING (t) LEFT JOIN c USING (t)"""))
+def overlaid_target(s, d):
+    x = X.series(s, d)
+    part = lambda where: x.where(where).select("t", "mw")
+    return rounded(C.overlaid(part("region = 0"), 1.25, part("region IN (1, 2)"), part("region = 3"), ["t"]), mw=5)

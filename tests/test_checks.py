@@ -156,3 +156,12 @@ def test_agreement_shifts_only_when_nothing_meets(spark):
     r = K.agreement(a, b, ["key"], ["v"], 0.5).first()
     assert (r.shifted, r.n, r.mae, r.n_large) == (True, 2, 1.0, 2)
     assert K.agreement(a, a, ["key"], ["v"], 0.5).first().shifted is False
+
+
+def test_overrides(spark):
+    places = spark.createDataFrame([(1, "o", "a", 1.0, 2.0), (2, "o", "b", None, 2.0), (3, "o", "c", None, None), (4, None, "b", None, None)], "k int, owner string, name string, lat double, lon double")
+    given = spark.createDataFrame([("o", "a", 9.0, 9.0), ("o", "a", 8.0, 8.0), ("o", "b", 5.0, 6.0), ("o", "b", 5.0, 6.0)], "owner string, name string, lat double, lon double")
+    got = {r.k: (r.lat, r.lon, r.coordinates) for r in L.overridden(places, given).collect()}
+    assert got == {1: (1.0, 2.0, "own"), 2: (5.0, 6.0, "override"), 3: (None, None, "none"), 4: (None, None, "none")}
+    with pytest.raises(Exception, match="several overrides of o/c"):
+        L.overridden(places, given.unionByName(given.select("owner", F.lit("c").alias("name"), "lat", "lon"))).collect()
