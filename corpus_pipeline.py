@@ -31,14 +31,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; one row of it."""
-    named = common.materialise(jaccard.linked_components(docs), "named")
-    others = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    others = common.materialise(others, "others")
-    side = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
-    kept = docs.join(side, "doc_id", "left_anti")
-    ids = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    return kept.dropDuplicates(["doc_id"]) if ids.where(F.col("count") > 1).limit(1).count() else kept
+    """One row of each group of near duplicates: that of the smallest id (nulls last) and then the smallest hash of the text.
+
+    Texts without shingles are in no group; of them, too, one row of those that repeat an id and a text stays.  Null ids
+    are separate documents."""
+    named = jaccard.linked_components(docs.withColumn("_hash", F.xxhash64("text")), extra=["_hash"], root_col="_root")
+    rows = named.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.min("_root").alias("_root"), F.count("*").alias("_times"))
+    rows = common.materialise(rows, "named")
+    grouped = rows.where(F.col("_root").isNotNull())
+    first = grouped.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("_f")).select("_f._id", "_f._hash")
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_hash"] == b["_hash"])
+    kept = _without(docs, grouped.join(first, same(grouped, first), "left_anti"))
+    again = rows.where((F.col("_times") > 1) & (F.col("_root").isNotNull() | F.col("_id").isNotNull())).select("_id", "_hash")
+    if not again.limit(1).count():
+        return kept
+    here = kept["doc_id"].eqNullSafe(again["_id"]) & (F.xxhash64(kept["text"]) == again["_hash"])
+    repeated = kept.join(again, here, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_hash")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return kept.join(again, here, "left_anti").unionByName(repeated.select("_row.*"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,7 +115,9 @@ def prefix_length(n, t: int):
 
 
 def _sketched(docs: DataFrame, t: int, width: int) -> DataFrame:
-    """``_id``, ``_key`` (of the set), ``_n``, ``_low`` (tokens that hash low) and ``_tokens``: those, the prefix by hash at least."""
+    """``_id``, ``_key`` (of the set), ``_n``, ``_low`` (tokens that hash low) and ``_tokens``: those, the prefix by hash at least;
+    and the columns of ``docs`` after its second."""
+    extra = docs.schema.fields[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -126,11 +128,12 @@ def _sketched(docs: DataFrame, t: int, width: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in kept]))).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([_key(s) if len(s) else None for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(low, pa.int64()), tokens],
-                    names=["_id", "_key", "_n", "_low", "_tokens"],
+                    [batch.column(0), pa.array([_key(s) if len(s) else None for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(low, pa.int64()), tokens, *batch.columns[2:]],
+                    names=["_id", "_key", "_n", "_low", "_tokens", *names],
                 )
 
-    return docs.mapInArrow(run, "_id long, _key long, _n long, _low long, _tokens array<long>")
+    names = [f.name for f in extra]
+    return docs.mapInArrow(run, ", ".join(["_id long, _key long, _n long, _low long, _tokens array<long>", *(f"{f.name} {f.dataType.simpleString()}" for f in extra)]))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -300,10 +303,14 @@ def _rooted(prefix: DataFrame, roots: DataFrame) -> DataFrame:
     return prefix.join(roots, prefix["_key"] == roots["u"], "left").select("_token", "_key", "_n", "_df", F.coalesce("root", "_key").alias("_root"))
 
 
-def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 75, width: int = 5) -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id``, one row for each of ``df``; t in hundredths."""
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 75, width: int = 5, extra: Sequence[str] = (), root_col: str | None = None) -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id``, one row for each of ``df``; t in hundredths.
+
+    Its columns ``extra`` are carried along.  ``root_col`` names a column for the component's key, which tells components
+    apart where ids are null or repeat; it is null for texts without shingles."""
+    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), *extra)
     sketches = materialise(_sketched(docs, t, width), "sketches")
+    docs = docs.select("_id", "_text")
     classes = materialise(sketches.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_id").alias("_first"), F.first("_n").alias("_n"), F.first("_low").alias("_low")), "classes")
 
     # The lists of each class once: those of its first document.
@@ -314,7 +321,7 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = listed.groupBy("_token").agg(F.count("*").alias("_df")).where(F.col("_df") > 1)
     shared = listed.join(counts, "_token")
     shared = materialise(shared.select("_token", "_key", "_rank", "_df"), "tokens")
-    named = materialise(sketches.select("_id", "_key", "_n"), "named")
+    named = materialise(sketches.select("_id", "_key", "_n", *extra), "named")
     discard(sketches)
 
     of_class = Window.partitionBy("_key")
@@ -418,8 +425,9 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     naming = classes.join(roots, classes["_key"] == roots["u"], "left").select("_key", F.coalesce("root", "_key").alias("_root"), "_first")
     names = naming.groupBy("_root").agg(F.min("_first").alias("_name"))
-    out = named.join(naming.join(names, "_root").select("_key", "_name"), "_key", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_name", "_id").alias("component_id"))
+    out = named.join(naming.join(names, "_root").select("_key", "_name", "_root"), "_key", "left")
+    more = [*extra, *([F.col("_root").alias(root_col)] if root_col else [])]
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_name", "_id").alias("component_id"), *more)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,3 +250,17 @@ def test_pipeline(spark):
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns, name
     assert "doc_id" in p.run(spark, DATA).columns
+
+
+def test_one_of_each_tells_rows_of_an_id_apart(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(11)
+    text = [" ".join(rng.choice([f"w{i}" for i in range(3000)], 60)) for _ in range(9)]
+    rows = [(1, text[0]), (1, text[1]), (1, text[1]), (2, text[0] + " x"), (2, text[2]), (3, text[3]), (None, text[3] + " y")]
+    rows += [(None, text[4]), (None, text[5]), (None, text[6]), (None, text[6]), (None, text[6] + " z"), (None, None), (None, None), (None, "a"), (None, "a"), (4, "a"), (4, "a"), (5, "a"), (4, None), (6, ""), (6, ""), (7, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in p.one_of_each(spark, df, DATA).collect()]
+    third = {t for i, t in got if i is None and t and t.startswith(text[6])}
+    want = [(1, text[0]), (1, text[1]), (2, text[2]), (3, text[3]), (None, text[4]), (None, text[5]), (None, *third), (None, None), (None, None), (4, "a"), (4, None), (6, ""), (7, "")]
+    assert len(third) == 1 and sorted(got, key=repr) == sorted(want, key=repr)
