@@ -4,6 +4,8 @@ Cells are at most a few hundred, so tables by cell are broadcast."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,21 +52,25 @@ def below_zero(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p_negative", p)
 
 
-def sibling_draws(base: DataFrame, siblings: DataFrame, z: DataFrame, cells: DataFrame, seed: int, mode: str = "proportional") -> DataFrame:
+def sibling_draws(base: DataFrame, siblings: DataFrame, z: DataFrame, cells: DataFrame, seed: int, mode: str = "proportional", keys: Sequence[str] = ()) -> DataFrame:
     """Means (node, cell, mean) of k mu + s (sqrt(rho) z + sqrt(1 - rho) eps), eps by node and day, s = k sigma or sqrt(|k|) sigma.
 
     ``base``: base, cell, mu, sigma; ``siblings``: node, base, k; ``z``: t, cell, z; ``cells``: cell, rho.  Loads are linear in z
-    and eps, so hours are reduced to days of a cell before they meet nodes.  Cells without hours have k mu."""
+    and eps, so hours are reduced to days of a cell before they meet nodes.  Cells without hours have k mu.
+    ``keys``: columns of ``z``, such as its region, for each of whose values all nodes are drawn."""
     if mode not in ("proportional", "quadrature"):
         raise ValueError(f"unknown mode: {mode}")
-    days = z.groupBy("cell", F.date_format("t", "yyyy-MM-dd").alias("_day")).agg(F.count("*").alias("_n"), F.sum("z").alias("_z"))
+    days = z.groupBy(*keys, "cell", F.date_format("t", "yyyy-MM-dd").alias("_day")).agg(F.count("*").alias("_n"), F.sum("z").alias("_z"))
     eps = normal_quantile(hash_uniform(F.lit(str(seed)), F.lit("sibling"), F.col("node").cast("string"), F.col("_day")))
     met = siblings.select("node").distinct().crossJoin(F.broadcast(days))  # a calendar's days in each cell
-    noise = met.groupBy("node", "cell").agg((F.sum(F.col("_n") * eps) / F.sum("_n")).alias("_eps"), (F.sum("_z") / F.sum("_n")).alias("_zbar"))
-    rows = siblings.join(base, "base").join(F.broadcast(cells.select("cell", "rho")), "cell", "left").join(noise, ["node", "cell"], "left")
+    noise = met.groupBy(*keys, "node", "cell").agg((F.sum(F.col("_n") * eps) / F.sum("_n")).alias("_eps"), (F.sum("_z") / F.sum("_n")).alias("_zbar"))
+    rows = siblings.join(base, "base").join(F.broadcast(cells.select("cell", "rho")), "cell", "left")
+    if keys:
+        rows = rows.crossJoin(F.broadcast(z.select(*keys).distinct()))  # a few values
+    rows = rows.join(noise, [*keys, "node", "cell"], "left")
     size = F.col("k") if mode == "proportional" else F.sqrt(F.abs("k"))
     w = F.sqrt("rho") * F.col("_zbar") + F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("rho"))) * F.col("_eps")
-    return rows.select("node", "base", "cell", F.coalesce(F.col("k") * F.col("mu") + size * F.col("sigma") * w, F.col("k") * F.col("mu")).alias("mean"))
+    return rows.select(*keys, "node", "base", "cell", F.coalesce(F.col("k") * F.col("mu") + size * F.col("sigma") * w, F.col("k") * F.col("mu")).alias("mean"))
 
 
 def total_checks(simulated: DataFrame, wanted: DataFrame) -> DataFrame:

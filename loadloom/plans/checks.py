@@ -62,8 +62,8 @@ def below_zero(s, d):
 def sibling_draws(s, d):
     base = V.with_sigma(_mu(s, d), "proportional-cv", 0.3).withColumnRenamed("unit", "base")
     nodes = X.read(s, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 10 + 1).alias("base"), (F.col("p_size") / 50).alias("k"))
-    z = E.standardised(X.series(s, d).where("region = 0").withColumn("hour", F.hour("t"))).select("t", F.col("hour").alias("cell"), "z")
-    return V.sibling_draws(base, nodes, z, z.select("cell").distinct().withColumn("rho", F.lit(0.25)), 7, "quadrature")
+    z = E.standardised(X.series(s, d).withColumn("hour", F.hour("t"))).select("region", "t", F.col("hour").alias("cell"), "z")
+    return V.sibling_draws(base, nodes, z, z.select("cell").distinct().withColumn("rho", F.lit(0.25)), 7, "quadrature", ["region"])
 
 
 WANTED = "w AS (SELECT t, hour(t)::INT AS cell, avg(mw) AS fy FROM series GROUP BY t), si AS (SELECT region AS draw, t, hour(t)::INT AS cell, mw AS total FROM series)"
@@ -249,11 +249,11 @@ def vintages(s, d):
 
 @query("uniform_draw")
 def uniform_draw(s, d):
-    """Cell means of one draw of the uniform family with noise by the hour."""
+    """Cell means of one draw of the uniform family for each region, with noise by the hour."""
     env = E.coarsen(E.fit_envelope(X.profiles(s, d)), ["hour"])
     hourly = X.series(s, d).withColumn("hour", F.hour("t"))
-    drawn = E.generate(env, E.standardised(hourly).where("region = 0"), E.system_cells(hourly, E.fit_envelope(X.profiles(s, d))), 7, 0, "uniform", True)
-    return drawn.groupBy("unit", "hour").agg(F.avg("load").alias("mean_mw"), F.count("*").alias("n_hours"))
+    drawn = E.generate(env, E.standardised(hourly), E.system_cells(hourly, E.fit_envelope(X.profiles(s, d))), 7, 0, "uniform", True)
+    return drawn.groupBy("region", "unit", "hour").agg(F.avg("load").alias("mean_mw"), F.count("*").alias("n_hours"))
 
 
 @query("normal_cdf")

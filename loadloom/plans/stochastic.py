@@ -54,11 +54,11 @@ def system_cells(s, d):
 
 @query("generate_draw")
 def generate_draw(s, d):
-    """Cell means of one draw for region 0; the hourly rows are never kept."""
+    """Cell means of one draw for each region; the hourly rows are never kept."""
     env = E.coarsen(E.fit_envelope(X.profiles(s, d)), ["hour"])
     hourly = _hourly(s, d)
-    drawn = E.generate(env, E.standardised(hourly).where("region = 0"), E.system_cells(hourly, E.fit_envelope(X.profiles(s, d))), 7, 0)
-    return drawn.groupBy("unit", "hour").agg(F.avg("load").alias("mean_mw"), F.count("*").alias("n_hours"))
+    drawn = E.generate(env, E.standardised(hourly), E.system_cells(hourly, E.fit_envelope(X.profiles(s, d))), 7, 0)
+    return drawn.groupBy("region", "unit", "hour").agg(F.avg("load").alias("mean_mw"), F.count("*").alias("n_hours"))
 
 
 @query("decay_moments", X.sql(f""", {HOURLY}, w AS (SELECT *, pow(0.5, date_diff('day', t::DATE, (SELECT max(t)::DATE FROM hs)) / 10.0::DOUBLE) AS w FROM hs),

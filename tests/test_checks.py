@@ -165,3 +165,26 @@ def test_overrides(spark):
     assert got == {1: (1.0, 2.0, "own"), 2: (5.0, 6.0, "override"), 3: (None, None, "none"), 4: (None, None, "none")}
     with pytest.raises(Exception, match="several overrides of o/c"):
         L.overridden(places, given.unionByName(given.select("owner", F.lit("c").alias("name"), "lat", "lon"))).collect()
+
+
+def test_draws_take_every_region(spark):
+    from loadloom.plans import fixtures as X
+    from loadloom.plans import registry
+
+    registry.load()
+    data = "/root/testdata/sf0.001"
+    regions = {r.region for r in X.series(spark, data).select("region").distinct().collect()}
+    assert len(regions) == 5
+    for name in ("generate_draw", "uniform_draw", "sibling_draws"):
+        assert {r.region for r in registry.QUERIES[name](spark, data).select("region").distinct().collect()} == regions, name
+
+
+def test_sibling_draws_by_region(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    z = spark.createDataFrame([(0, at(1), 0, 1.0), (0, at(2), 0, -3.0), (1, at(1), 0, 2.0)], "region int, t timestamp, cell int, z double")
+    base = spark.createDataFrame([("b", 0, 10.0, 2.0), ("b", 1, 20.0, 2.0)], "base string, cell int, mu double, sigma double")
+    nodes = spark.createDataFrame([(1, "b", 0.5)], "node int, base string, k double")
+    cells = spark.createDataFrame([(0, 0.25)], "cell int, rho double")
+    got = {(r.region, r.cell): r["mean"] for r in V.sibling_draws(base, nodes, z, cells, 7, keys=["region"]).collect()}
+    want = {(g, r.cell): r["mean"] for g in (0, 1) for r in V.sibling_draws(base, nodes, z.where(F.col("region") == g), cells, 7).collect()}
+    assert got == pytest.approx(want) and len(got) == 4
