@@ -28,7 +28,7 @@ def _sides(s, d):
 @query("fuzzy_names")
 def fuzzy_names(s, d):
     parts = _parts(s, d)
-    return M.fuzzy_join(parts.select("k", "name"), parts.where("p_size <= 5").select("name"))
+    return M.fuzzy_join(parts.select("k", "name"), parts.select("name"))
 
 
 @query("name_variants", r"""WITH v AS (SELECT p_partkey AS k, p_name AS name, r.rule, trim(regexp_replace(p_name, r.p, r.w, 'g')) AS variant FROM part, (VALUES (1, '[aeiou]', ''), (2, ' .*$', ''), (3, '^[^ ]* ', '')) r(rule, p, w))

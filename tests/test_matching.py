@@ -62,3 +62,12 @@ def test_fuzzy_join(spark):
     with pytest.raises(ValueError):
         M.fuzzy_join(left, right, most=1)
     assert {r.match for r in M.fuzzy_join(left, right.where("false")).collect()} == {None}
+
+
+def test_fuzzy_names_takes_the_whole_dictionary(spark):
+    from loadloom.plans import registry
+
+    registry.load()
+    data = "/root/testdata/sf0.001"
+    got = registry.QUERIES["fuzzy_names"](spark, data).where("trim(name) <> ''").collect()
+    assert got and all(r.score == 100 for r in got)  # each name is in the dictionary
