@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 ORDER, FOLDS, PRIOR_BYTES = 5, 5, 96
-UPPER, SLACK = 0.99, 1.25
+UPPER, SLACK = 0.99, 1.1
 MODEL_ROWS, TRUSTED_IDS = 4_000_000, 4_000_000
 CHUNK = 1 << 21
 MASK = [(1 << (8 * k)) - 1 for k in range(ORDER + 1)]

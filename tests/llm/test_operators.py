@@ -264,3 +264,12 @@ def test_one_of_each_tells_rows_of_an_id_apart(spark):
     third = {t for i, t in got if i is None and t and t.startswith(text[6])}
     want = [(1, text[0]), (1, text[1]), (2, text[2]), (3, text[3]), (None, text[4]), (None, text[5]), (None, *third), (None, None), (None, None), (4, "a"), (4, None), (6, ""), (7, "")]
     assert len(third) == 1 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_quality_keeps_little_junk(spark):
+    data = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    kept = {r.doc_id: r.keep for r in quality.classify(spark.read.parquet(f"{data}/documents.parquet"), quality.trusted_ids(labels)).collect()}
+    bad = [kept[r.doc_id] for r in labels.where("quality = 0").collect()]
+    good = [kept[r.doc_id] for r in labels.where("quality = 1").collect()]
+    assert sum(bad) / len(bad) < 0.04 and sum(good) / len(good) > 0.99
