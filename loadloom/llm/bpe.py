@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import arrow_map, pieces, table
 
 #: The pieces that the vocabulary's pre-tokenizer keeps, and the mark that stands for the end of a word.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -212,14 +212,15 @@ def encode_documents(df: DataFrame, vocabulary_path: str, keep: Sequence[str] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for whole in batches:
-            for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+            for batch in pieces(whole, whole.num_columns - 1, ROWS):
                 ids = [c.encode(x.as_py()) for x in batch.column(batch.num_columns - 1)]
                 out = [*batch.columns[:-1], pa.array(ids, pa.binary())]
                 if decoded:
                     out.append(pa.array([c.decode(x) for x in ids], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
+        c.words.clear()
 
-    return kept.mapInArrow(run, schema)
+    return arrow_map(kept, run, schema)
 
 
 def decode_documents(df: DataFrame, vocabulary_path: str, keep: Sequence[str] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
@@ -235,7 +236,7 @@ def decode_documents(df: DataFrame, vocabulary_path: str, keep: Sequence[str] =
             texts = pa.array([c.decode(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return arrow_map(kept, run, schema)
 
 
 def ids_array(ids):

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import arrow_map, discard, materialise, pieces, table
 from .components import components
 
 CUTOFF, FREQUENT, GROUP, WHOLE = 0.30, 32, 32, 32
@@ -121,7 +121,7 @@ def _sketched(docs: DataFrame, t: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            for batch in pieces(whole, 1, 256):
                 rows = shingle_sets(batch.column(1).to_pylist(), width)
                 low = [int(np.searchsorted(s, LOW)) for s in rows]
                 kept = [s[: max(k, prefix_length(len(s), t)) if len(s) > WHOLE else len(s)] for s, k in zip(rows, low, strict=True)]
@@ -131,19 +131,21 @@ def _sketched(docs: DataFrame, t: int, width: int) -> DataFrame:
                     [batch.column(0), pa.array([_key(s) if len(s) else None for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(low, pa.int64()), tokens, *batch.columns[2:]],
                     names=["_id", "_key", "_n", "_low", "_tokens", *names],
                 )
+        _words.clear()
 
     names = [f.name for f in extra]
-    return docs.mapInArrow(run, ", ".join(["_id long, _key long, _n long, _low long, _tokens array<long>", *(f"{f.name} {f.dataType.simpleString()}" for f in extra)]))
+    return arrow_map(docs, run, ", ".join(["_id long, _key long, _n long, _low long, _tokens array<long>", *(f"{f.name} {f.dataType.simpleString()}" for f in extra)]))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            for batch in pieces(whole, 1, 256):
                 rows = shingle_sets(batch.column(1).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) if len(s) else None for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["_key", "_set"])
+        _words.clear()
 
-    return docs.mapInArrow(run, "_key long, _set binary")
+    return arrow_map(docs, run, "_key long, _set binary")
 
 
 def _checked(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -296,7 +298,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: int, wid
             kept = pa.array(similar, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
 
-    return both.mapInArrow(check, "u long, v long")
+    return arrow_map(both, check, "u long, v long")
 
 
 def _rooted(prefix: DataFrame, roots: DataFrame) -> DataFrame:
@@ -389,19 +391,19 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def paired(pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs with what both groups hold; ``members``: _g, _key, _root, _n, _set."""
-        packs = materialise(members.groupBy("_g").agg(F.collect_list(F.struct("_key", "_root", "_n", "_set")).alias("_members")).mapInArrow(_pack, PACK), "packs")
+        packs = materialise(arrow_map(members.groupBy("_g").agg(F.collect_list(F.struct("_key", "_root", "_n", "_set")).alias("_members")), _pack, PACK), "packs")
         parts = [c for c in packs.columns if c != "_g"]
         both = pairs.join(packs, "_g").select("_g", "_h", *[F.col(c).alias(f"left{c}") for c in parts])
         return both.join(packs.select(F.col("_g").alias("_h"), *parts), "_h").select("_g", "_h", *[f"left{c}" for c in parts], *parts)
 
     # The union of a group's tokens of boilerplate first, its members' whole sets where that allows a link.
     tokens = placed.groupBy("_g", "_key", "_root", "_n").agg(F.collect_list("_token").alias("_set"))
-    pairs = paired(pairs, tokens.mapInArrow(_as_bytes, "_g struct<_anchor: long, _slice: long>, _key long, _root long, _n long, _set binary"))
-    pairs = materialise(pairs.mapInArrow(_may_link(t), "_g struct<_anchor: long, _slice: long>, _h struct<_anchor: long, _slice: long>, _keys array<long>"), "opened")
+    pairs = paired(pairs, arrow_map(tokens, _as_bytes, "_g struct<_anchor: long, _slice: long>, _key long, _root long, _n long, _set binary"))
+    pairs = materialise(arrow_map(pairs, _may_link(t), "_g struct<_anchor: long, _slice: long>, _h struct<_anchor: long, _slice: long>, _keys array<long>"), "opened")
     able = pairs.select(F.explode("_keys").alias("_key")).distinct()
     inside = anchored.withColumn("_g", F.struct("_anchor", "_slice")).join(able, "_key", "left_semi").select("_g", "_key", "_root", "_n")
     sets = _class_sets(inside.select("_key"), classes, docs, width)
-    links = links.unionByName(paired(pairs.select("_g", "_h"), inside.join(sets, "_key")).mapInArrow(_open(t), "u long, v long"))
+    links = links.unionByName(arrow_map(paired(pairs.select("_g", "_h"), inside.join(sets, "_key")), _open(t), "u long, v long"))
     links = materialise(links, "links")
 
     # The rest: classes that share a rarer token with a group of another component.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import arrow_map, materialise, pieces, table
 from .url_filter import host_and_path
 
 SAMPLE, SLOTS, TEMPER, SMOOTH = 1500, 1 << 15, 40.0, 0.5
@@ -65,7 +65,7 @@ def text_models(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at].astype(np.int64))], names=["lang", "slot", "n"])
 
-    counts = chosen.mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = arrow_map(chosen, run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts.lang.unique())
     table_ = np.full((len(langs), SLOTS), SMOOTH)
     for i, lang in enumerate(langs):
@@ -91,7 +91,7 @@ def identify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, model = shared.value
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            for batch in pieces(whole, 2, 256):
                 declared, evidence = [], []
                 for page in batch.column(2).to_pylist():
                     m = DECLARED.search(page or "")
@@ -104,7 +104,7 @@ def identify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(declared, pa.string()), pa.array(evidence, pa.list_(pa.float64()))], names=[id_col, "host", "declared", "_text"])
 
     kind = dict(pages.dtypes)[id_col]
-    seen = materialise(cut.mapInArrow(run, f"{id_col} {kind}, host string, declared string, _text array<double>"), "evidence")
+    seen = materialise(arrow_map(cut, run, f"{id_col} {kind}, host string, declared string, _text array<double>"), "evidence")
     seen = seen.withColumn("_suffix", F.substring_index("host", ".", -1)).withColumn("_domain", F.substring_index("host", ".", -2))
     n = range(len(langs))
     votes = [F.sum(F.exp(F.col("_text")[i])).alias(f"v{i}") for i in n]

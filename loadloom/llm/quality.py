@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import arrow_map, materialise, table
 
 ORDER, FOLDS, PRIOR_BYTES = 5, 5, 96
 UPPER, SLACK = 0.99, 1.1
 MODEL_ROWS, TRUSTED_IDS = 4_000_000, 4_000_000
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 MASK = [(1 << (8 * k)) - 1 for k in range(ORDER + 1)]
 
 
@@ -164,7 +164,7 @@ def _by_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*out, pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(nll, pa.float64())], names=[*(f.name for f in kept), "_bytes", "_nll"])
 
     docs_columns = docs.columns
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def _by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
                 g, n = np.unique(grams([text])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(g), pa.int64()), pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["_row", "lang", "g", "n"])
 
-    found = keyed.where(F.col("_bytes") > 0).select("_row", "_lang", "_text").dropDuplicates(["_row"]).mapInArrow(run, "_row long, lang string, g long, n long")
+    found = arrow_map(keyed.where(F.col("_bytes") > 0).select("_row", "_lang", "_text").dropDuplicates(["_row"]), run, "_row long, lang string, g long, n long")
     found = found.join(model.select("lang").distinct(), "lang", "left_semi")
     value, done = F.lit(0.0), F.lit(False)
     for k in range(ORDER, 0, -1):
@@ -204,7 +204,7 @@ def classify(
     ids = F.broadcast(ids) if ids.limit(TRUSTED_IDS + 1).count() <= TRUSTED_IDS else ids
     held = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)) == 0
     learn = docs.join(ids, "_id", "left_semi").where(~held).select("_lang", "_text")
-    counts = learn.mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    counts = arrow_map(learn, _count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     model = kneser_ney(materialise(counts, "grams"))
     score = _by_broadcast if model.limit(model_rows + 1).count() <= model_rows else _by_join
     scored = materialise(score(docs, model), "scores")
