@@ -1,40 +1,46 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of ``TABLES`` tables hashes a vector to the cells of width ``WIDTH`` in which ``PROJECTIONS`` Gaussian projections
+Each of ``TABLES`` tables hashes a vector to the cell of width ``WIDTH`` in which ``PROJECTIONS`` Gaussian projections
 of it fall.  For largest inner products, vectors are scaled by the greatest norm and completed to unit length by one
-more component, which a query has as 0: then the nearest by distance have the largest products.  A query visits, in
-each table, the ``PROBES`` cells among its own and those one step aside in any projections with the least sum of
-squared distances from the query's projections to the cells, that is in the order of estimated success.  Candidates of all tables are
+more component, which a query has as 0: then the nearest by distance have the largest products.  Of a vector at the distance
+d, the squared distances of the projections from the query's add up to d^2 times a chi-square variable; so the less the squared distance of a cell's middle from the query's projections, the greater its chance to hold a near vector.  A query visits its own and the perturbed
+cells in that order, twice: first the ``FIRST`` rows in the likeliest cells of each segment, which gives it a k-th distance; then
+all cells that a vector as near as the k-th would fall into, but for a part ``MISSED`` of the cases in each table.  Candidates of all tables are
 merged and ranked by their exact inner products in double precision.
 
-Scale: every row is indexed and nothing is fitted on a sample, only the greatest norm is collected.  A bucket above
-``BLOCK`` rows is dealt to several tasks, with its queries copied to each; a task holds at most some blocks.  Queries that met
-fewer than k candidates are scored against all rows in blocks, so that short lists never stand for missed buckets.
-The parameters give a recall of 0.95 and more on unit vectors of 64 components whose 20th neighbour has a product of
-about 0.37; cells near the query are then a large part of the table, as such neighbours are hardly nearer than others.
+Scale: rows are indexed in segments of at most ``SEGMENT`` rows, cut where they are read; every row is indexed and nothing is fitted on
+a sample, only the greatest norm is collected.  A task has one segment and at most ``QUERIES`` queries, whatever buckets are hot, and
+returns at most k + 1 rows a query; equal vectors count as at most k + 1 rows, and equal queries are searched once.  How many cells are
+visited follows from the data: few where neighbours are much nearer than the rest.  Of vectors without any such structure, on the
+contrary, half are scored, see the README.
 
-Edge cases: vectors null, zero or with null or non-finite components, or of an uncommon length, take no part; rows
-with the query's own id aren't its candidates; repeated ids count once, with their best score; fewer than k
-candidates: all; an empty table: no rows.
+Edge cases: vectors null, empty, zero, with null or non-finite components or of an uncommon length take no part; each row is a
+query or candidate of its own, whether or not its id repeats, and a query's own row alone is not its candidate; null ids come
+after all others; fewer than k candidates: all; an empty table: no rows.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .vectors import dimension, matrix, packed, unpack, valid
+from .vectors import candidates, matrix, packed, questions, ranked, taking_part, unpack
 
-TABLES, PROJECTIONS, WIDTH, PROBES, SEED = 6, 5, 2.0, 20, 20
-BLOCK, BROADCAST_BUCKETS = 512, 20_000
-FALLBACK_ROWS, FALLBACK_QUERIES = 2048, 512
+TABLES, PROJECTIONS, WIDTH, SEED = 2, 24, 1.0, 20
+SEGMENT, QUERIES, FIRST, STEP = 4096, 1024, 64, 256
+MISSED = 0.33
+#: Fixed value: the quantile of the standard normal distribution that leaves out MISSED.
+Z_MISSED = 0.4399
+
+
+def chi_square_bound(p: int) -> float:
+    """What a chi-square variable of p degrees of freedom exceeds in a part MISSED of the cases (Wilson and Hilferty)."""
+    return p * (1 - 2 / (9 * p) + Z_MISSED * math.sqrt(2 / (9 * p))) ** 3
 
 
 def hashes(d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,133 +48,123 @@ def hashes(d: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((TABLES, d + 1, PROJECTIONS)), rng.uniform(0, WIDTH, (TABLES, PROJECTIONS))
 
 
-def cell_keys(cells: np.ndarray) -> np.ndarray:
-    """One number for the cells of each row; clashes only add candidates."""
-    key = np.zeros(cells.shape[:-1], np.int64)
-    for j in range(cells.shape[-1]):
-        key = key * 1_000_003 + cells[..., j].astype(np.int64) + 500_009
-    return key
-
-
-def buckets(m: np.ndarray, norm: float, probes: bool, asked: int = PROBES) -> list[np.ndarray]:
-    """For each table the bucket of each row, or the buckets that a query with this vector visits, in order."""
+def cells_of(m: np.ndarray, norm: float) -> list[np.ndarray]:
+    """For each table the cell of each row."""
     a, b = hashes(m.shape[1])
-    x = m.astype(np.float64) / norm
-    if probes:
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.hstack([x / np.where(length > 0, length, 1), np.zeros((len(x), 1))])
-    else:
-        x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))])
-    steps = np.array([*itertools.product((0, -1, 1), repeat=PROJECTIONS)])
-    out = []
-    for t in range(TABLES):
-        p = (x @ a[t] + b[t]) / WIDTH
-        cell = np.floor(p).astype(np.int64)
-        if not probes:
-            out.append(cell_keys(cell)[:, None])
-            continue
-        part = p - cell
-        aside = np.stack([np.zeros_like(part), (1 - part) ** 2, part**2], axis=2)  # for steps 0, 1 and -1, which is the last
-        cost = sum(aside[:, j][:, steps[:, j]] for j in range(PROJECTIONS))
-        first = np.argsort(cost, axis=1, kind="stable")[:, :asked]
-        out.append(cell_keys(cell[:, None, :] + steps[first]))
-    return out
-
-
-def top_products(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the k rows with the largest products, ties by smaller id; the products are summed alike for all
-    rows, so that equal vectors have equal scores."""
-    out = []
-    c = c.astype(np.float64)
-    for a in range(0, len(qids), 256):
-        block = q[a : a + 256].astype(np.float64)
-        rough = block @ c.T
-        for qid, x, row in zip(qids[a : a + 256], block, rough, strict=True):
-            at = np.flatnonzero(ids != qid)
-            if len(at) > k:
-                r = row[at]
-                least = np.partition(r, len(r) - k)[len(r) - k]
-                at = at[r >= least - 1e-9 * (1 + abs(least)) - 1e-12 * np.abs(r).max()]
-            exact = (c[at] * x).sum(1)
-            first = np.lexsort((ids[at], -exact))[:k]
-            out.append((np.full(len(first), qid), ids[at][first], exact[first]))
-    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
-
-
-def _table(found) -> pa.Table:
-    return pa.table([pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64)), pa.array(found[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
-
-
-def _dealt(df: DataFrame, d: int, norm: float, probes: bool) -> DataFrame:
-    """``_t``, ``_bucket``, ``_id``, ``_mat``: each vector once for each bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
-                m = matrix(batch.column(1), d)
-                own = m.astype("<f4") if m.dtype == np.float32 else m.astype("<f8")
-                own = pa.array([r.tobytes() for r in own], pa.binary())
-                for t, keys in enumerate(buckets(m, norm, probes)):
-                    at = pa.array(np.repeat(np.arange(len(m)), keys.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.ravel()), batch.column(0).take(at), own.take(at)], names=["_t", "_bucket", "_id", "_mat"])
-
-    return df.select("_id", "_vec").mapInArrow(run, "_t int, _bucket long, _id long, _mat binary")
-
-
-def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products found."""
-    rows, asked = valid(df, id_col, vec_col, False), valid(queries, id_col, vec_col, False)
-    d = dimension(rows)
-    rows, asked = rows.where(F.size("_vec") == d), asked.where(F.size("_vec") == d)
+    x = m / norm
+    x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))])
+    return [np.floor((x @ a[t] + b[t]) / WIDTH).astype(np.float32) for t in range(TABLES)]
+
+
+def projected(q: np.ndarray) -> list[np.ndarray]:
+    """For each table the projections of query vectors, in widths of cells."""
+    a, b = hashes(q.shape[1])
+    x = np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))])
+    return [((x @ a[t] + b[t]) / WIDTH).astype(np.float32) for t in range(TABLES)]
+
+
+def costs(cells: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of some queries' projections from the middle of each row's cell: the less, the likelier a near vector."""
+    middle = cells + np.float32(0.5)
+    out = (middle * middle).sum(1)[None, :] - 2 * (q @ middle.T) + (q * q).sum(1)[:, None]
+    return np.maximum(out, 0) * np.float32(WIDTH * WIDTH)
+
+
+def reach(squared: np.ndarray) -> np.ndarray:
+    """How far the middle of the cell of a vector at a distance is in a part 1 - MISSED of the cases; a cell's inside adds its variance."""
+    return squared * chi_square_bound(PROJECTIONS) + PROJECTIONS * WIDTH * WIDTH / 12
+
+
+def _search(k: int, d: int, norm: float, dtype: str):
+    """The work of a segment and some queries: the first k rows of those visited, ``_visited`` with each query's first row.
+
+    A query without a ``_bound`` visits the FIRST likeliest rows of each table; others go on, in steps, until the cells are farther away than
+    vectors as near as the bound, or as the k-th of this segment so far, would be."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if left.num_rows and right.num_rows:
+            rows, ids, c = unpack(right, d, dtype)
+            c = c.astype(np.float64)
+            cells = cells_of(c, norm)
+            classes, bounds = left.column("_class").to_numpy(), left.column("_bound").to_numpy(zero_copy_only=False)
+            q = matrix(left.column("_vec"), d).astype(np.float64)
+            lengths = np.linalg.norm(q, axis=1)
+            places = projected(q)
+            for a in range(0, len(q), 64):
+                every = [costs(cells[t], places[t][a : a + 64]) for t in range(TABLES)]
+                for i, x in enumerate(q[a : a + 64]):
+                    bound, scale = bounds[a + i], 2 / (lengths[a + i] * norm)
+                    if np.isnan(bound):
+                        at = np.arange(len(c))
+                        if len(c) > FIRST:
+                            at = np.unique(np.concatenate([np.argpartition(cost[i], FIRST)[:FIRST] for cost in every]))
+                        exact = (c[at] * x).sum(1)
+                    else:
+                        cost = np.minimum.reduce([e[i] for e in every])
+                        limit = reach(bound)
+                        order = np.flatnonzero(cost <= limit)
+                        order = order[np.argsort(cost[order], kind="stable")]
+                        at, exact = order[:0], np.empty(0)
+                        while len(order) and cost[order[0]] <= limit:
+                            # Products are summed alike for all rows, so that equal vectors have equal scores.
+                            exact = np.concatenate([exact, (c[order[:STEP]] * x).sum(1)])
+                            at, order = np.concatenate([at, order[:STEP]]), order[STEP:]
+                            if len(exact) >= k:
+                                limit = min(limit, reach(max(0.0, 2 - scale * np.partition(exact, len(exact) - k)[len(exact) - k])))
+                    n = len(at)
+                    if n > k:
+                        best = exact >= np.partition(exact, n - k)[n - k]
+                        at, exact = at[best], exact[best]
+                    first = np.lexsort((rows[at], ids[at], -exact))[:k]
+                    visited = np.zeros(len(first), np.int64)
+                    visited[:1] = n
+                    out.append((np.full(len(first), classes[a + i]), rows[at][first], ids[at][first], exact[first], visited))
+        columns = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0), np.empty(0, np.int64)]
+        kinds = (np.int64, np.int64, np.int64, np.float64, np.int64)
+        return pa.table([pa.array(z.astype(kind)) for z, kind in zip(columns, kinds, strict=True)], names=["_class", "_row", "_id", "score", "_visited"])
+
+    return run
+
+
+def nearest(df: DataFrame, asking: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each row that is ``asking`` the k largest inner products found."""
+    return search(df, asking, k, id_col, vec_col)[0]
+
+
+def search(df: DataFrame, asking: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame | None]:
+    """The neighbours, and what was found for each distinct query: ``_visited`` adds up to the pairs that were scored."""
+    given = taking_part(df, asking, id_col, vec_col, False)
     squares = F.aggregate("_vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
-    n, norm = rows.agg(F.count("*"), F.sqrt(F.max(squares))).first()
-    if not n:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = asked.groupBy("_id").agg(F.min("_vec").alias("_vec"))
-    dtype = "<f4" if dict(df.dtypes)[vec_col] == "array<float>" else "<f8"
-
-    indexed, probing = _dealt(rows, d, norm, False), _dealt(asked, d, norm, True)
-    big = indexed.groupBy("_t", "_bucket").count().where(F.col("count") > BLOCK).select("_t", "_bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("_parts"))
-    big = materialise(big, "buckets")
-    side = F.broadcast(big) if big.count() <= BROADCAST_BUCKETS else big
-    parts = F.coalesce("_parts", F.lit(1))
-    indexed = indexed.join(side, ["_t", "_bucket"], "left").withColumn("_part", F.pmod(F.xxhash64("_id"), parts).cast("int")).drop("_parts")
-    probing = probing.join(side, ["_t", "_bucket"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-
-    def bucket(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _table((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)))
-        of = lambda t: (t.column("_id").to_numpy(), np.frombuffer(b"".join(t.column("_mat").to_pylist()), dtype).reshape(-1, d))
-        return _table(top_products(*of(left), *of(right), k))
-
-    keys, schema = ["_t", "_bucket", "_part"], "query_id long, vec_id long, score double"
-    found = probing.groupBy(*keys).cogroup(indexed.groupBy(*keys)).applyInArrow(bucket, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def ranked(found: DataFrame) -> DataFrame:
-        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    found = materialise(ranked(found), "neighbours")
-    full = found.groupBy("query_id").count().where(F.col("count") >= k)
-    short = asked.join(full, asked["_id"] == full["query_id"], "left_anti")
-    m = short.count()
+    d, norm = given.agg(F.max(F.size("_vec")), F.sqrt(F.max(squares))).first()
+    classes, members = questions(given)
+    m = classes.count()
     if not m:
-        return found
-    across, down = math.ceil(n / FALLBACK_ROWS), math.ceil(m / FALLBACK_QUERIES)
-    blocks = packed(rows, d, FALLBACK_ROWS, dtype, lambda x: x).withColumn("_i", F.pmod(F.xxhash64("_block"), F.lit(across)).cast("int"))
-    blocks = blocks.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).drop("_block")
-    spread = short.withColumn("_j", F.pmod(F.xxhash64("_id"), F.lit(down)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _table((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)))
-        return _table(top_products(left.column("_id").to_numpy(), matrix(left.column("_vec"), d), *unpack(right, d, dtype), k))
-
-    rest = ranked(spread.groupBy("_i", "_j").cogroup(blocks.groupBy("_i", "_j")).applyInArrow(cell, schema))
-    return found.join(full.select("query_id"), "query_id", "left_semi").select(rest.columns).unionByName(rest)
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double"), None
+    dtype = "<f4" if dict(df.dtypes)[vec_col] == "array<float>" else "<f8"
+    rows = materialise(candidates(given, k), "candidates")
+    across, down = math.ceil(rows.count() / SEGMENT), math.ceil(m / QUERIES)
+    segments = packed(rows, d, SEGMENT, dtype, lambda x: x)
+    segments = materialise(segments.withColumn("_i", F.pmod(F.xxhash64("_block"), F.lit(across)).cast("int")).drop("_block"), "segments")
+    segments = segments.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    asked = classes.select("_class", "_vec", F.pmod(F.xxhash64("_class"), F.lit(down)).cast("int").alias("_j"))
+
+    def visit(bounds: DataFrame) -> DataFrame:
+        spread = bounds.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        found = spread.groupBy("_i", "_j").cogroup(segments.groupBy("_i", "_j")).applyInArrow(_search(k + 1, d, norm, dtype), "_class long, _row long, _id long, score double, _visited long")
+        return materialise(found, "found")
+
+    first = visit(asked.withColumn("_bound", F.lit(None).cast("double")))
+    # The squared distance, after scaling, of the (k + 1)-th best so far; all cells for queries that met fewer.
+    best = Window.partitionBy("_class").orderBy(F.desc("score"))
+    least = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k + 1).select("_class", F.col("score").alias("_least"))
+    lengths = asked.join(least, "_class", "left").withColumn("_length", F.sqrt(F.aggregate("_vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))))
+    bound = F.coalesce(F.greatest(F.lit(0.0), 2 - 2 * F.col("_least") / (F.col("_length") * norm)), F.lit(float("inf")))
+    found = visit(lengths.select("_class", "_vec", "_j", bound.alias("_bound")))
+    met = first.unionByName(found)
+    every = met.groupBy("_class", "_row", "_id").agg(F.max("score").alias("score"))
+    return ranked(every, classes, members, k, "double"), met
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
