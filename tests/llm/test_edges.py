@@ -35,11 +35,11 @@ OPERATORS = {
     "language": (pages, lambda s, d: language.identify(d, docs(s))),
     "bpe": (docs, lambda s, d: bpe.digests(bpe.encode_documents(d, bpe.default_vocabulary()))),
     "mixing": (docs, lambda s, d: mixing.curriculum(d)),
-    "topk": (vecs, lambda s, d: topk.exact_top_k(d, d.where("vec_id % 2 = 0"), 2)),
+    "topk": (vecs, lambda s, d: topk.exact_top_k(d, F.col("vec_id") % 2 == 0, 2)),
     "pii": (docs, lambda s, d: pii.pseudonymise(d)),
     "quotes": (turns, lambda s, d: quotes.reply_order(d)),
     "url": (pages, lambda s, d: url_filter.filter_urls(d, url_filter.rule_table(s))),
-    "ann": (vecs, lambda s, d: ann.nearest(d, d.where("vec_id % 2 = 0"), 2)),
+    "ann": (vecs, lambda s, d: ann.nearest(d, F.col("vec_id") % 2 == 0, 2)),
 }
 
 

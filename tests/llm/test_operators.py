@@ -130,15 +130,15 @@ def test_exact_top_k_with_ties(spark):
     rows = [(i, [float(x) for x in r], "x") for i, r in enumerate(m)] + [(900, None, "x"), (901, [float("nan")] * 8, "x"), (902, [None] * 8, "x")]
     df = vectors(spark, rows)
     got = collections.defaultdict(list)
-    for r in topk.exact_top_k(df, df.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+    for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     q = np.floor(m * 256).astype(int)
     for i in range(0, 200, 50):
         s = q @ q[i]
         assert got[i] == [(j, s[j]) for j in sorted((j for j in range(200) if j != i), key=lambda j: (-s[j], j))[:5]]
-    assert topk.exact_top_k(df.limit(0), df.limit(0), 5).count() == 0
+    assert topk.exact_top_k(df.limit(0), F.lit(True), 5).count() == 0
     few = df.where("vec_id < 3")
-    assert topk.exact_top_k(few, few.where("vec_id = 0"), 5).count() == 2
+    assert topk.exact_top_k(few, F.col("vec_id") == 0, 5).count() == 2
 
 
 def test_neighbours_recall_and_short_lists(spark):
@@ -150,7 +150,7 @@ def test_neighbours_recall_and_short_lists(spark):
     m = m.astype(np.float32).astype(float)
     hits = total = 0
     found = collections.defaultdict(list)
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 10).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 10).orderBy("query_id", "rank").collect():
         assert abs(r.score - m[r.vec_id] @ m[r.query_id]) < 1e-9 and r.vec_id not in (8, r.query_id)
         found[r.query_id].append(r.vec_id)
     for i in range(0, 1500, 20):
@@ -159,7 +159,7 @@ def test_neighbours_recall_and_short_lists(spark):
         hits, total = hits + len({*found[i]} & {*np.argsort(-s)[:10]}), total + 10
     assert hits / total >= 0.9
     few = df.where("vec_id < 6")
-    assert ann.nearest(few, few.where("vec_id = 0"), 10).count() == 5
+    assert ann.nearest(few, F.col("vec_id") == 0, 10).count() == 5
 
 
 def test_url_rules(spark):
@@ -201,7 +201,7 @@ def test_reply_order(spark):
     rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "> how are  you\nFine, thanks"), (1, 2, "user", "other"), (1, 3, "user", ">> How are you?\n> Fine, thanks\nGood"), (1, 3, "user", ">> How are you?\n> Fine, thanks\nGood"), (1, 4, "user", "> unknown\nx"), (2, 0, None, None), (None, 0, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = [(r.conv_id, r.thread, r.depth, r.turn, r.reply_to, r.text) for r in quotes.reply_order(df).collect() if r.conv_id == 1]
-    assert got == [(1, 0, 0, 0, None, rows[0][3]), (1, 0, 1, 1, 0, "Fine, thanks"), (1, 0, 2, 3, 1, "Good"), (1, 0, 2, 3, 1, "Good"), (1, 2, 0, 2, None, "other"), (1, 4, 0, 4, None, "x")]
+    assert got == [(1, 0, 0, 0, None, rows[0][3]), (1, 0, 1, 1, 0, "Fine, thanks"), (1, 0, 2, 3, 1, "Good"), (1, 0, 2, 3, 1, "Good"), (1, 2, 0, 2, None, "other"), (1, 4, 0, 4, None, "> unknown\nx")]
     assert quotes.reply_order(df).count() == len(rows) and quotes.reply_order(df.limit(0)).count() == 0
 
 
