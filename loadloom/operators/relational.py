@@ -42,21 +42,24 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, flag: Column, out: s
     return df.withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_f")
 
 
-def round_to_printed(df: DataFrame, keys: Sequence[str], value: str, ordinal: str, digits: int, target: Column | None = None, out: str = "printed") -> DataFrame:
+def round_to_printed(df: DataFrame, keys: Sequence[str], value: str, ordinal: str, digits: int, target: Column | None = None, out: str = "printed", allow_negative: bool = False) -> DataFrame:
     """Largest remainder: values cut to ``digits`` whose sum within each key is that of the values, or the target, as printed.
 
-    Works in whole units of the last digit.  Deficits go to the largest remainders, excesses come off the smallest of those
-    that have a unit."""
+    Works in whole units of the last digit.  Deficits go to the largest remainders, excesses come off the smallest remainders of
+    those that have a unit, or of all with ``allow_negative``.  A gap of more units than there are values, or than can be
+    taken back, raises an error, so that what is printed always adds up."""
     scale = float(10**digits)
     by = Window.partitionBy(*keys)
     x = F.col(value) * scale
-    df = df.withColumn("_u", F.floor(x + 1e-9).cast("long")).withColumn("_r", x - F.col("_u"))
+    df = df.withColumn("_u", F.floor(x).cast("long")).withColumn("_r", x - F.floor(x))
+    has = F.lit(True) if allow_negative else F.col("_u") >= 1
     wanted = F.rint((F.sum(value).over(by) if target is None else target) * scale).cast("long")
-    df = df.withColumn("_gap", wanted - F.sum("_u").over(by))
+    df = df.withColumn("_gap", wanted - F.sum("_u").over(by)).withColumn("_n", F.count("*").over(by)).withColumn("_m", F.sum(has.cast("long")).over(by))
+    refused = F.when(F.abs("_gap") > F.col("_n"), F.raise_error(F.lit("a gap is wider than rounding can explain"))).when(-F.col("_gap") > F.col("_m"), F.raise_error(F.lit("not enough units to take back")))
     up = F.row_number().over(by.orderBy(F.desc("_r"), ordinal))
-    down = F.row_number().over(by.orderBy((F.col("_u") < 1).cast("int"), "_r", ordinal))
-    step = F.when(up <= F.col("_gap"), 1).when((F.col("_gap") < 0) & (F.col("_u") >= 1) & (down <= -F.col("_gap")), -1).otherwise(0)
-    return df.withColumn(out, (F.col("_u") + step) / scale).drop("_u", "_r", "_gap")
+    down = F.row_number().over(by.orderBy((~has).cast("int"), "_r", ordinal))
+    step = F.when(up <= F.col("_gap"), 1).when((F.col("_gap") < 0) & has & (down <= -F.col("_gap")), -1).otherwise(0)
+    return df.withColumn(out, F.coalesce(refused.cast("double"), (F.col("_u") + step) / scale)).drop("_u", "_r", "_gap", "_n", "_m")
 
 
 def weighted_moments(df: DataFrame, keys: Sequence[str], y: str, w: str) -> DataFrame:

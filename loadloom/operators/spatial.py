@@ -2,40 +2,68 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import haversine_km
+from ..functions.cleaning import unit_sphere
+from ..functions.scalar import EARTH_KM, haversine_km
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs (k, other, km) within a distance.  Both sides have k, lat, lon.
+def _cells(lat: str, lon: str, step: float) -> list[Column]:
+    return [F.floor(c / step) for c in unit_sphere(F.col(lat), F.col(lon))]
 
-    The right side is copied to the nine cells of a grid around each of its own, so pairs meet in an equi-join."""
-    step = km / 110.0
-    widest = step / max(0.05, math.cos(math.radians(80)))
-    x, y = lambda c: F.floor(F.col(c) / step), lambda c: F.floor(F.col(c) / widest)
-    a = left.select(F.col("k"), F.col("lat").alias("_la"), F.col("lon").alias("_lo")).withColumn("_x", x("_la")).withColumn("_y", y("_lo"))
-    b = right.select(F.col("k").alias("other"), F.col("lat").alias("_ra"), F.col("lon").alias("_ro"))
-    around = F.array(*[F.struct((x("_ra") + i).alias("_x"), (y("_ro") + j).alias("_y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = b.select("other", "_ra", "_ro", F.explode(around).alias("_c")).select("other", "_ra", "_ro", "_c.*")
-    d = haversine_km(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))
-    return a.join(b, ["_x", "_y"]).withColumn("km", d).where(F.col("km") <= km).select("k", "other", "km")
 
+def within_km(left: DataFrame, right: DataFrame, km: float, same: str | None = None) -> DataFrame:
+    """Pairs (k, other, km) within a distance, of rows with the same value of a column if one is named.  Both sides have k, lat, lon.
 
-def nearest_with_ties(left: DataFrame, right: DataFrame, km: float, tolerance: float = 1e-6) -> DataFrame:
-    """All within ``tolerance`` of the nearest in ``km``, each with an equal share; rows with none have nulls."""
+    Cells are cubes around the globe as wide as the chord of the distance, so that poles and date line are places like others; the
+    right side is copied to its cell and those around it, so pairs meet in an equi-join."""
+    step = 2 * math.sin(min(km, math.pi * EARTH_KM) / (2 * EARTH_KM)) * (1 + 1e-6)
+    axes = ("_x", "_y", "_z")
+    more = [same] if same else []
+    a = left.select(F.col("k"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), *more).withColumns(dict(zip(axes, _cells("_la", "_lo", step), strict=True)))
+    b = right.select(F.col("k").alias("other"), F.col("lat").alias("_ra"), F.col("lon").alias("_ro"), *more)
+    here = _cells("_ra", "_ro", step)
+    around = F.array(*[F.struct(*[(c + i).alias(n) for c, i, n in zip(here, steps, axes, strict=True)]) for steps in itertools.product((-1, 0, 1), repeat=3)])
+    b = b.select("other", "_ra", "_ro", *more, F.explode(around).alias("_c")).select("other", "_ra", "_ro", *more, "_c.*")
+    d = haversine_km(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))
+    return a.join(b, [*axes, *more]).withColumn("km", d).where(F.col("km") <= km).select("k", "other", "km")
+
+
+def around(left: DataFrame, right: DataFrame, least: int, km: float, tolerance: float = 0.0, same: str | None = None) -> DataFrame:
+    """Pairs (k, other, km) among which are the ``least`` nearest of every row and all as near as these, to a tolerance, whatever ``km`` is.
+
+    Rows that have so many within ``km`` are done; the others look 16 times as far, and what is left then, rows far from
+    everything, at all of the right side (of their own class)."""
+    found, rest = None, left
+    for reach in (km, 16 * km):
+        near = F.sum((F.col("km") <= reach - tolerance).cast("int")).over(Window.partitionBy("k"))
+        met = within_km(rest, right, reach, same).withColumn("_n", near).where(F.col("_n") >= least).drop("_n")
+        found = met if found is None else found.unionByName(met)
+        rest = rest.join(met.select("k").distinct(), "k", "left_anti")
+    a = rest.select("k", F.col("lat").alias("_la"), F.col("lon").alias("_lo"), *([same] if same else []))
+    b = right.select(F.col("k").alias("other"), F.col("lat").alias("_ra"), F.col("lon").alias("_ro"), *([same] if same else []))
+    every = a.join(b, same) if same else a.crossJoin(b)
+    far = every.withColumn("km", haversine_km(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))).where("km IS NOT NULL").select("k", "other", "km")
+    return found.unionByName(far)
+
+
+def nearest_with_ties(left: DataFrame, right: DataFrame, km: float = 50.0, tolerance: float = 1e-6) -> DataFrame:
+    """All within ``tolerance`` of the nearest, each with an equal share; rows without a place have nulls.  ``km`` only says where to
+    look first."""
     by = Window.partitionBy("k")
-    met = within_km(left, right, km).withColumn("_d", F.min("km").over(by)).where(F.col("km") <= F.col("_d") + tolerance)
+    met = around(left, right, 1, km, tolerance).withColumn("_d", F.min("km").over(by)).where(F.col("km") <= F.col("_d") + tolerance)
     met = met.withColumn("share", 1.0 / F.count("*").over(by)).drop("_d")
     return left.select("k").join(met, "k", "left")
 
 
-def k_nearest(left: DataFrame, right: DataFrame, k: int, km: float) -> DataFrame:
-    w = Window.partitionBy("k").orderBy("km", "other")
-    return within_km(left, right, km).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def k_nearest(left: DataFrame, right: DataFrame, k: int, km: float = 50.0) -> DataFrame:
+    """The k nearest (all, if fewer), ties (to a micrometre) to the smaller key.  ``km`` only says where to look first."""
+    w = Window.partitionBy("k").orderBy(F.round("km", 9), "other")
+    return around(left, right, k, km).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def inside(point_x, point_y, ring):
@@ -52,14 +80,19 @@ def inside(point_x, point_y, ring):
 def mutual_nearest(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """Pairs within ``km`` of which each is the other's nearest; ties go to the smaller key."""
     near = within_km(left, right, km)
-    near = near.withColumn("_a", F.row_number().over(Window.partitionBy("k").orderBy("km", "other")))
-    near = near.withColumn("_b", F.row_number().over(Window.partitionBy("other").orderBy("km", "k")))
+    near = near.withColumn("_a", F.row_number().over(Window.partitionBy("k").orderBy(F.round("km", 9), "other")))
+    near = near.withColumn("_b", F.row_number().over(Window.partitionBy("other").orderBy(F.round("km", 9), "k")))
     return near.where("_a = 1 AND _b = 1").drop("_a", "_b")
 
 
-def nearest_of_class(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """The nearest within ``km`` of the row's own class, else of any; both sides have class too."""
-    near = within_km(left, right, km).join(left.select("k", F.col("class").alias("_c")), "k").join(right.select(F.col("k").alias("other"), F.col("class").alias("_o")), "other")
-    near = near.withColumn("same", F.col("_c").eqNullSafe(F.col("_o")))
-    w = Window.partitionBy("k").orderBy(F.desc("same"), "km", "other")
-    return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_c", "_o")
+def nearest_of_class(left: DataFrame, right: DataFrame, km: float = 50.0) -> DataFrame:
+    """The nearest of the row's own class, of any where nothing has its class; both sides have class too.  ``km`` only says where to
+    look first."""
+    known = right.select("class").distinct().withColumn("_known", F.lit(True))
+    asked = left.join(known, "class", "left").withColumn("_of", F.when(F.col("_known"), F.col("class").cast("string")))
+    asked = asked.select("k", "lat", "lon", F.coalesce("_of", F.lit("")).alias("_of"))
+    # The right side stands once under each class and once under none, for rows whose class it lacks.
+    given = right.select("k", "lat", "lon", F.explode(F.array(F.col("class").cast("string"), F.lit(""))).alias("_of"))
+    best = F.min(F.struct(F.round("km", 9).alias("r"), "other", "km"))
+    near = around(asked, given, 1, km, same="_of").groupBy("k").agg(best.alias("_b"))
+    return near.join(asked.select("k", (F.col("_of") != "").alias("same")), "k").select("k", F.col("_b.other").alias("other"), F.col("_b.km").alias("km"), "same")

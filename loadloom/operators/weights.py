@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import share_within
@@ -46,10 +46,29 @@ def disaggregate(series: DataFrame, weights: DataFrame) -> DataFrame:
     return timed.join(weights, ["region", "month", "hour"]).withColumn("load", F.col("mw") * F.col("weight"))
 
 
+def disaggregate_by(series: DataFrame, weights: DataFrame, **periods: Column) -> DataFrame:
+    """Energy by unit and period (such as year and month) without the hourly rows: the series is added up by cell and period before
+    the join."""
+    cells = series.groupBy("region", F.month("t").alias("_m"), F.hour("t").alias("hour"), *[c.alias(f"_of_{n}") for n, c in periods.items()]).agg(F.sum("mw").alias("energy"))
+    met = cells.join(weights.withColumnRenamed("month", "_m"), ["region", "_m", "hour"])
+    return met.groupBy("region", "unit", *[F.col(f"_of_{n}").alias(n) for n in periods]).agg(F.sum(F.col("energy") * F.col("weight")).alias("energy"))
+
+
 def disaggregate_totals(series: DataFrame, weights: DataFrame) -> DataFrame:
-    """Totals by unit without the hourly rows: the series is added up by cell before the join."""
-    cells = series.groupBy("region", F.month("t").alias("month"), F.hour("t").alias("hour")).agg(F.sum("mw").alias("energy"))
-    return cells.join(weights, ["region", "month", "hour"]).groupBy("region", "unit").agg(F.sum(F.col("energy") * F.col("weight")).alias("energy"))
+    """Totals by unit without the hourly rows."""
+    return disaggregate_by(series, weights)
+
+
+def broadcast_to_cells(table: DataFrame, level: str, value: str) -> DataFrame:
+    """A level's values in all 288 cells; of the finest level, repeats of a cell add up."""
+    if level == "monthhour":
+        return table.groupBy("unit", "month", "hour").agg(F.sum(value).alias(value))
+    spark = table.sparkSession
+    out = table
+    for name, first, last in (("month", 1, 13), ("hour", 0, 24)):
+        if name not in LEVELS[level]:
+            out = out.crossJoin(F.broadcast(spark.range(first, last).select(F.col("id").cast("int").alias(name))))  # 12 or 24 rows
+    return out.select("unit", "month", "hour", value)
 
 
 def county_fractions(units: DataFrame) -> DataFrame:

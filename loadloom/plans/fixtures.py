@@ -42,7 +42,7 @@ SQL = """profiles AS (SELECT l_suppkey AS unit, month(l_shipdate)::INT AS month,
 units AS (SELECT s_suppkey AS unit, s_nationkey AS county, n_regionkey AS region, s_acctbal AS level FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 series AS (SELECT (user_id % 5)::INT AS region, date_trunc('hour', ts) AS t, sum(value) AS mw FROM events GROUP BY ALL),
 places AS (SELECT s_suppkey AS k, 32 + (s_suppkey * 37 % 1000) / 100.0::DOUBLE AS lat, -124 + (s_suppkey * 91 % 1000) / 100.0::DOUBLE AS lon FROM supplier),
-spots AS (SELECT p_partkey AS k, 32 + (p_partkey * 37 % 1000) / 100.0::DOUBLE AS lat, -124 + (p_partkey * 91 % 1000) / 100.0::DOUBLE AS lon FROM part WHERE p_size <= 10)"""
+spots AS (SELECT p_partkey AS k, 32 + (p_partkey * 37 % 1000) / 100.0::DOUBLE AS lat, -124 + (p_partkey * 91 % 1000) / 100.0::DOUBLE AS lon FROM part)"""
 
 
 def sql(rest: str) -> str:

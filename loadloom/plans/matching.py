@@ -22,7 +22,7 @@ def _parts(s, d):
 
 def _sides(s, d):
     left = X.places(X.read(s, d, "supplier").select(F.col("s_suppkey").alias("k")), "k")
-    return left, X.places(_parts(s, d).where("p_size <= 10").select("k"), "k")
+    return left, X.places(_parts(s, d).select("k"), "k")
 
 
 @query("fuzzy_names")
@@ -59,24 +59,24 @@ def checked_edges(s, d):
     return M.checked_edges(edges, _parts(s, d).where("p_size > 5").withColumnRenamed("k", "node"), units).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("mapped_profiles", X.sql(f""", {PAIRS}, t AS (SELECT k, other, 1.0::DOUBLE / count(*) OVER (PARTITION BY k) AS share FROM (SELECT *, min(km) OVER (PARTITION BY k) AS d FROM pairs WHERE km <= 100) WHERE km <= d + 1e-6)
+@query("mapped_profiles", X.sql(f""", {PAIRS}, t AS (SELECT k, other, 1.0::DOUBLE / count(*) OVER (PARTITION BY k) AS share FROM (SELECT *, min(km) OVER (PARTITION BY k) AS d FROM pairs) WHERE km <= d + 1e-6)
   SELECT other, month, round(sum(max_load * share), 5) AS v FROM t JOIN profiles ON unit = k GROUP BY ALL"""))
 def mapped_profiles(s, d):
     values = X.profiles(s, d).groupBy(F.col("unit").alias("k"), "month").agg(F.sum("max_load").alias("v"))
-    return M.apply_mapping(values, P.nearest_with_ties(*_sides(s, d), 100.0), ["month"]).select("other", "month", F.round("v", 5).alias("v"))
+    return M.apply_mapping(values, P.nearest_with_ties(*_sides(s, d)), ["month"]).select("other", "month", F.round("v", 5).alias("v"))
 
 
-@query("mutual_nearest", X.sql(f""", {PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY km, other) AS a, row_number() OVER (PARTITION BY other ORDER BY km, k) AS b FROM pairs WHERE km <= 100)
+@query("mutual_nearest", X.sql(f""", {PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(km, 9), other) AS a, row_number() OVER (PARTITION BY other ORDER BY round(km, 9), k) AS b FROM pairs WHERE km <= 100)
   SELECT k, other, round(km, 6) AS km FROM n WHERE a = 1 AND b = 1"""))
 def mutual_nearest(s, d):
     return P.mutual_nearest(*_sides(s, d), 100.0).withColumn("km", F.round("km", 6))
 
 
-@query("nearest_of_class", X.sql(f""", {PAIRS} SELECT k, other, round(km, 6) AS km, k % 4 = other % 4 AS same FROM pairs WHERE km <= 100
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY (k % 4 <> other % 4), km, other) = 1"""))
+@query("nearest_of_class", X.sql(f""", {PAIRS} SELECT k, other, round(km, 6) AS km, k % 4 = other % 4 AS same FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY (k % 4 <> other % 4), round(km, 9), other) = 1"""))
 def nearest_of_class(s, d):
     left, right = (x.withColumn("class", F.col("k") % 4) for x in _sides(s, d))
-    return P.nearest_of_class(left, right, 100.0).select("k", "other", F.round("km", 6).alias("km"), "same")
+    return P.nearest_of_class(left, right).select("k", "other", F.round("km", 6).alias("km"), "same")
 
 
 @query("catchments")
@@ -152,11 +152,11 @@ def without_common(s, d):
     return U.without_common(_shapes(s, d).select("unit", "cell", "shape")).withColumn("shape", F.round("shape", 6))
 
 
-@query("mass_moved", X.sql(f""", {PAIRS}, a AS (SELECT k, other FROM pairs WHERE km <= 100 QUALIFY row_number() OVER (PARTITION BY k ORDER BY km, other) = 1),
-  b AS (SELECT k, other FROM pairs WHERE km <= 100 QUALIFY row_number() OVER (PARTITION BY k ORDER BY (k % 4 <> other % 4), km, other) = 1)
+@query("mass_moved", X.sql(f""", {PAIRS}, a AS (SELECT k, other FROM pairs QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(km, 9), other) = 1),
+  b AS (SELECT k, other FROM pairs QUALIFY row_number() OVER (PARTITION BY k ORDER BY (k % 4 <> other % 4), round(km, 9), other) = 1)
   SELECT a.k, (a.other <> b.other)::INT::DOUBLE AS moved FROM a JOIN b USING (k)"""))
 def mass_moved(s, d):
     left, right = (x.withColumn("class", F.col("k") % 4) for x in _sides(s, d))
     one = F.lit(1.0).alias("share")
-    near = R.first_by(P.within_km(left, right, 100.0), ["k"], F.asc("km"), F.asc("other"))
-    return U.mass_moved(near.select("k", "other", one), P.nearest_of_class(left, right, 100.0).select("k", "other", one))
+    near = P.k_nearest(left, right, 1)
+    return U.mass_moved(near.select("k", "other", one), P.nearest_of_class(left, right).select("k", "other", one))

@@ -15,7 +15,7 @@ PAIRS = f"pairs AS (SELECT a.k, b.k AS other, {KM} AS km FROM places a, spots b)
 
 def _sides(s, d):
     left = X.places(X.read(s, d, "supplier").select(F.col("s_suppkey").alias("k")), "k")
-    return left, X.places(X.read(s, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("k")), "k")
+    return left, X.places(X.read(s, d, "part").select(F.col("p_partkey").alias("k")), "k")
 
 
 @query("within_distance", X.sql(f", {PAIRS} SELECT k, other, round(km, 6) AS km FROM pairs WHERE km <= 25"))
@@ -23,15 +23,15 @@ def within_distance(s, d):
     return P.within_km(*_sides(s, d), 25.0).withColumn("km", F.round("km", 6))
 
 
-@query("nearest_ties", X.sql(f""", {PAIRS}, m AS (SELECT *, min(km) OVER (PARTITION BY k) AS d FROM pairs WHERE km <= 100), t AS (SELECT k, other, km, 1.0::DOUBLE / count(*) OVER (PARTITION BY k) AS share FROM m WHERE km <= d + 1e-6)
+@query("nearest_ties", X.sql(f""", {PAIRS}, m AS (SELECT *, min(km) OVER (PARTITION BY k) AS d FROM pairs), t AS (SELECT k, other, km, 1.0::DOUBLE / count(*) OVER (PARTITION BY k) AS share FROM m WHERE km <= d + 1e-6)
   SELECT p.k, other, round(km, 6) AS km, round(share, 9) AS share FROM places p LEFT JOIN t ON t.k = p.k"""))
 def nearest_ties(s, d):
-    return P.nearest_with_ties(*_sides(s, d), 100.0).withColumn("km", F.round("km", 6)).withColumn("share", F.round("share", 9))
+    return P.nearest_with_ties(*_sides(s, d)).withColumn("km", F.round("km", 6)).withColumn("share", F.round("share", 9))
 
 
-@query("k_nearest", X.sql(f", {PAIRS} SELECT k, other, round(km, 6) AS km, row_number() OVER (PARTITION BY k ORDER BY km, other)::INT AS rank FROM pairs WHERE km <= 100 QUALIFY rank <= 3"))
+@query("k_nearest", X.sql(f", {PAIRS} SELECT k, other, round(km, 6) AS km, row_number() OVER (PARTITION BY k ORDER BY round(km, 9), other)::INT AS rank FROM pairs QUALIFY rank <= 3"))
 def k_nearest(s, d):
-    return P.k_nearest(*_sides(s, d), 3, 100.0).withColumn("km", F.round("km", 6))
+    return P.k_nearest(*_sides(s, d), 3).withColumn("km", F.round("km", 6))
 
 
 @query("voltage_classes", "SELECT p_partkey AS k, CASE WHEN p_size * 10 < 87.1 THEN 66 WHEN p_size * 10 < 162.6 THEN 115 WHEN p_size * 10 < 339.1 THEN 230 ELSE 500 END AS kv FROM part")

@@ -97,12 +97,12 @@ def compared_names(s, d):
     return C.compared_sets(x.where("p_size <= 3"), x.where("p_size >= 48"), ["name"])
 
 
-@query("distance_bands", X.sql(f""", near AS (SELECT a.k, min({KM}) AS km FROM places a, spots b GROUP BY a.k HAVING min({KM}) <= 100)
+@query("distance_bands", X.sql(f""", near AS (SELECT a.k, min({KM}) AS km FROM places a, spots b GROUP BY a.k)
   SELECT ((km >= 1)::INT + (km >= 5)::INT + (km >= 20)::INT + (km >= 50)::INT)::INT AS band, count(*)::BIGINT AS n, round(quantile_cont(km, 0.5), 6) AS median_km FROM near GROUP BY 1"""))
 def distance_bands(s, d):
     left = X.places(X.read(s, d, "supplier").select(F.col("s_suppkey").alias("k")), "k")
-    right = X.places(X.read(s, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("k")), "k")
-    return C.distance_bands(P.k_nearest(left, right, 1, 100.0), "km", (1, 5, 20, 50)).withColumn("median_km", F.round("median_km", 6))
+    right = X.places(X.read(s, d, "part").select(F.col("p_partkey").alias("k")), "k")
+    return C.distance_bands(P.k_nearest(left, right, 1), "km", (1, 5, 20, 50)).withColumn("median_km", F.round("median_km", 6))
 
 
 @query("common_value", "WITH c AS (SELECT l_suppkey AS unit, l_returnflag AS flag, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2) SELECT unit, flag, n FROM c QUALIFY row_number() OVER (PARTITION BY unit ORDER BY n DESC, flag) = 1")

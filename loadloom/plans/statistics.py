@@ -68,11 +68,11 @@ KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2)
 
 
 @query("neighbour_template", X.sql(f"""{SHAPES}, n AS (SELECT a.k, b.k AS other, {KM} AS km FROM places a, places b WHERE a.k % 4 = 0 AND b.k % 4 <> 0),
-  t AS (SELECT k, other FROM n WHERE km <= 300 QUALIFY row_number() OVER (PARTITION BY k ORDER BY km, other) <= 3)
+  t AS (SELECT k, other FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(km, 9), other) <= 3)
   SELECT k AS unit, month, hour, round(avg(shape), 6) AS shape, count(*)::BIGINT AS donors FROM t JOIN shapes ON other = unit GROUP BY ALL"""))
 def neighbour_template(s, d):
     at = X.places(X.read(s, d, "supplier").select(F.col("s_suppkey").alias("k")), "k")
-    near = P.k_nearest(at.where("k % 4 = 0"), at.where("k % 4 <> 0"), 3, 300.0)
+    near = P.k_nearest(at.where("k % 4 = 0"), at.where("k % 4 <> 0"), 3)
     return _rounded(T.neighbour_template(_shapes(s, d), near, ["month", "hour"]), 6, "shape")
 
 
