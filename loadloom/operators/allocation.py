@@ -69,6 +69,7 @@ def slack_shares(shapes: DataFrame, levels: DataFrame, most: float | None = None
     if least is not None:
         rest = rest.where(refuse(F.col("_times") < least, "unmapped nodes change their sign"))
     slack = others.join(rest.select("cell", "block", "_times"), "block").withColumn("s", F.col("share") * F.col("_times"))
+    own = own.join(rest.select("cell", "block"), ["cell", "block"], "left_semi")  # so that it is refused where no node is unmapped, too
     return own.select("node", "cell", "s").unionByName(slack.select("node", "cell", "s"))
 
 

@@ -26,20 +26,38 @@ def likeness(a: str, b: str) -> float:
     return 200.0 * (len(a) - free.bit_count()) / (len(a) + len(b))
 
 
+LETTERS = 64
+
+
+def _letters(name: str) -> np.ndarray:
+    """How often each letter is in the sorted words, by its number modulo LETTERS."""
+    return np.bincount([ord(c) % LETTERS for c in " ".join(name.lower().split())], minlength=LETTERS).astype(np.int16)
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, threshold: float = 75.0, most: int = 100_000) -> DataFrame:
     """Rows of ``left`` (k, name) with the ``match`` of ``right`` (name) that is most like it and its ``score``; nulls below the threshold.
 
-    Each distinct name is compared once.  The right side is a dictionary: more than ``most`` distinct names raise an error.
+    Each distinct name is compared once, with those whose letters in common allow a score as high as the best so far: these bound the
+    common subsequence.  The right side is a dictionary: more than ``most`` distinct names raise an error.
     Null and empty names match nothing; ties go to the smaller name."""
     known = sorted(r[0] for r in right.select("name").where("trim(name) <> ''").distinct().limit(most + 1).collect())
     if len(known) > most:
         raise ValueError(f"more than {most} names to match")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters = np.array([_letters(x) for x in known], np.int16).reshape(-1, LETTERS)
+        sizes = letters.sum(1)
         for batch in batches:
             rows = []
             for name in batch["name"]:
-                score, match = max(((likeness(name, other), i) for i, other in enumerate(known)), key=lambda x: (x[0], -x[1]), default=(0.0, 0))
+                own = _letters(name)
+                bound = 200.0 * np.minimum(letters, own).sum(1) / np.maximum(1, sizes + own.sum())
+                score, match = 0.0, 0
+                for i in np.flatnonzero(bound >= threshold)[np.argsort(-bound[bound >= threshold], kind="stable")]:
+                    if bound[i] < score:
+                        break
+                    score, match = max((score, -match), (likeness(name, known[i]), -int(i)))
+                    match = -match
                 if score >= threshold and score > 0:
                     rows.append((name, known[match], score))
             yield pd.DataFrame(rows, columns=["name", "match", "score"])

@@ -15,11 +15,14 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 
 
 def share_within(df: DataFrame, keys: Sequence[str], value: str, out: str = "weight") -> DataFrame:
-    """Shares of the clipped values within each key; equal shares where they add up to nothing."""
-    w = Window.partitionBy(*keys)
+    """Shares of the clipped values within each key; equal shares where they add up to nothing.
+
+    Sums by key are joined, so that a key with a third of all rows is dealt to many tasks."""
     v = F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0))
-    total = F.sum(v).over(w)
-    return df.withColumn(out, F.when(total > 0, v / F.when(total > 0, total)).otherwise(1 / F.count("*").over(w)))
+    sums = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.sum(v).alias("_total"), F.count("*").alias("_many"))
+    joined = df.join(sums, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    share = F.when(F.col("_total") > 0, v / F.when(F.col("_total") > 0, F.col("_total"))).otherwise(1 / F.col("_many"))
+    return joined.withColumn(out, share).drop("_total", "_many", *[f"_of_{k}" for k in keys])
 
 
 def min_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:

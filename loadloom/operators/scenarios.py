@@ -35,8 +35,10 @@ def hold_shares(nodes: DataFrame) -> DataFrame:
 
 
 def encoded(df: DataFrame, cells: DataFrame) -> DataFrame:
-    """Rows (month, hour) with the cell of a table of cells (month, hour, cell); an hour without a cell raises an error."""
-    known = F.broadcast(cells.select("month", "hour", "cell").dropDuplicates(["month", "hour"]))  # at most 288 rows
+    """Rows (month, hour) with the cell of a table of cells (month, hour, cell); an hour without a cell, or with several, raises an error."""
+    several = F.raise_error(F.format_string("several cells for month %d, hour %d", "month", "hour")).cast("int")
+    each = cells.groupBy("month", "hour").agg(F.min("cell").alias("_a"), F.max("cell").alias("_b"))
+    known = F.broadcast(each.select("month", "hour", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(several).alias("cell")))  # at most 288 rows
     missing = F.raise_error(F.format_string("no cell for month %d, hour %d", "month", "hour")).cast("int")
     return df.join(known, ["month", "hour"], "left").withColumn("cell", F.coalesce("cell", missing))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import Z90, hash_uniform, normal_cdf, normal_quantile
@@ -31,9 +31,10 @@ def fit_percentiles(long: DataFrame) -> DataFrame:
 
 
 def standardised(series: DataFrame) -> DataFrame:
-    w = Window.partitionBy("region", "hour")
-    sd = F.stddev_samp("mw").over(w)
-    return series.withColumn("z", F.when(sd > 0, (F.col("mw") - F.avg("mw").over(w)) / F.when(sd > 0, sd)))
+    """z of each hour within its region's hours of the day."""
+    moments = series.groupBy("region", "hour").agg(F.avg("mw").alias("_mean"), F.stddev_samp("mw").alias("_sd"))
+    sd = F.col("_sd")
+    return series.join(moments, ["region", "hour"]).withColumn("z", F.when(sd > 0, (F.col("mw") - F.col("_mean")) / F.when(sd > 0, sd))).drop("_mean", "_sd")
 
 
 def system_cells(series: DataFrame, envelope: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ def filled(surface: DataFrame, cells: DataFrame) -> DataFrame:
 
 def without_common(shapes: DataFrame) -> DataFrame:
     """Shapes divided by their cell's mean over the units, and by each unit's new mean; a mean of 0 divides nothing."""
-    common = F.avg("shape").over(Window.partitionBy("cell"))
-    out = shapes.withColumn("shape", F.when(common != 0, F.col("shape") / F.when(common != 0, common)).otherwise(F.col("shape")))
+    common = shapes.groupBy("cell").agg(F.avg("shape").alias("_c"))
+    out = shapes.join(common, "cell").withColumn("shape", F.when(F.col("_c") != 0, F.col("shape") / F.when(F.col("_c") != 0, F.col("_c"))).otherwise(F.col("shape"))).drop("_c")
     own = F.avg("shape").over(Window.partitionBy("unit"))
     return out.withColumn("shape", F.when(own != 0, F.col("shape") / F.when(own != 0, own)).otherwise(F.col("shape")))
 

@@ -13,6 +13,7 @@ from ..operators import scenarios as C
 from ..operators import spatial as P
 from ..operators import stochastic as E
 from . import fixtures as X
+from . import stochastic
 from .registry import query
 
 KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
@@ -52,18 +53,24 @@ def sigma_floor(s, d):
     return rounded(V.sigma_floor(_mu(s, d), _system(s, d)), floor=4)
 
 
-@query("below_zero")
+@query("below_zero", X.sql(f", {MU}, sg AS (SELECT unit, cell, mu, stddev_samp(mu) OVER (PARTITION BY cell) AS sigma FROM m) SELECT unit, cell, round(CASE WHEN sigma > 0 AND mu / sigma < 7 THEN {X.cdf_sql('(-mu / sigma)')} WHEN sigma > 0 THEN 0 WHEN sigma = 0 THEN (mu < 0)::INT END::DOUBLE, 8) AS p_negative FROM sg"))
 def below_zero(s, d):
     """P(load < 0) of each unit and hour."""
-    return V.below_zero(V.with_sigma(_mu(s, d), "input-crosssec")).select("unit", "cell", "p_negative")
+    return rounded(V.below_zero(V.with_sigma(_mu(s, d), "input-crosssec")).select("unit", "cell", "p_negative"), p_negative=8)
 
 
-@query("sibling_draws")
+SIBLINGS = f""", mb AS (SELECT unit AS base, hour AS cell, avg((min_load + max_load) / 2) AS mu, 0.3 * abs(avg((min_load + max_load) / 2)) AS sigma FROM profiles GROUP BY ALL), nd AS (SELECT p_partkey AS node, p_partkey % 10 + 1 AS base, p_size / 50.0::DOUBLE AS k FROM part),
+  zs AS (SELECT region, t, hour(t)::INT AS cell, (mw - avg(mw) OVER w) / nullif(stddev_samp(mw) OVER w, 0) AS z FROM series WINDOW w AS (PARTITION BY region, hour(t))), dy AS (SELECT region, cell, strftime(t, '%Y-%m-%d') AS day, count(*) AS n, sum(z) AS z FROM zs GROUP BY ALL),
+  dn AS (SELECT DISTINCT node, day FROM nd, dy), ep AS (SELECT node, day, {X.uniform_sql("'7|sibling'", "node", "day")} AS u FROM dn), eq AS (SELECT node, day, {X.quantile_sql("u")} AS e FROM ep),
+  no AS (SELECT region, node, cell, sum(n * e) / sum(n) AS e, sum(z) / sum(n) AS z FROM eq JOIN dy USING (day) GROUP BY ALL)"""
+
+
+@query("sibling_draws", X.sql(f"{SIBLINGS} SELECT region, node, nd.base, mb.cell, round(coalesce(k * mu + sqrt(abs(k)) * sigma * (sqrt(0.25) * z + sqrt(0.75) * e), k * mu), 6) AS mean FROM nd JOIN mb USING (base) CROSS JOIN (SELECT DISTINCT region FROM zs) r LEFT JOIN no USING (region, node, cell)"))
 def sibling_draws(s, d):
     base = V.with_sigma(_mu(s, d), "proportional-cv", 0.3).withColumnRenamed("unit", "base")
     nodes = X.read(s, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 10 + 1).alias("base"), (F.col("p_size") / 50).alias("k"))
     z = E.standardised(X.series(s, d).withColumn("hour", F.hour("t"))).select("region", "t", F.col("hour").alias("cell"), "z")
-    return V.sibling_draws(base, nodes, z, z.select("cell").distinct().withColumn("rho", F.lit(0.25)), 7, "quadrature", ["region"])
+    return V.sibling_draws(base, nodes, z, z.select("cell").distinct().withColumn("rho", F.lit(0.25)), 7, "quadrature", ["region"]).withColumn("mean", F.round("mean", 6))
 
 
 WANTED = "w AS (SELECT t, hour(t)::INT AS cell, avg(mw) AS fy FROM series GROUP BY t), si AS (SELECT region AS draw, t, hour(t)::INT AS cell, mw AS total FROM series)"
@@ -247,18 +254,18 @@ def vintages(s, d):
     return rounded(K.vintages(loads, F.col("vintage") == 1, F.col("vintage") == 2), change=4)
 
 
-@query("uniform_draw")
+@query("uniform_draw", X.sql(stochastic.DRAWN.replace("{when}", "%Y-%m-%d %H") + f""" SELECT region, unit, hour, round(avg(mu + sigma * {S.Z90 / 0.8!r}::DOUBLE * (2 * ({X.cdf_sql("w")}) - 1)), 6) AS mean_mw, count(*)::BIGINT AS n_hours FROM ws GROUP BY ALL"""))
 def uniform_draw(s, d):
     """Cell means of one draw of the uniform family for each region, with noise by the hour."""
     env = E.coarsen(E.fit_envelope(X.profiles(s, d)), ["hour"])
     hourly = X.series(s, d).withColumn("hour", F.hour("t"))
     drawn = E.generate(env, E.standardised(hourly), E.system_cells(hourly, E.fit_envelope(X.profiles(s, d))), 7, 0, "uniform", True)
-    return drawn.groupBy("region", "unit", "hour").agg(F.avg("load").alias("mean_mw"), F.count("*").alias("n_hours"))
+    return drawn.groupBy("region", "unit", "hour").agg(F.round(F.avg("load"), 6).alias("mean_mw"), F.count("*").alias("n_hours"))
 
 
-@query("normal_cdf")
+@query("normal_cdf", f"SELECT s_suppkey AS k, round({X.cdf_sql('((s_suppkey % 800) / 100.0::DOUBLE - 4)')}, 10) AS p FROM supplier")
 def normal_cdf(s, d):
-    return X.read(s, d, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("k"), S.normal_cdf(F.col("s_suppkey") / 100.0 - 4).alias("p"))
+    return X.read(s, d, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("k"), F.round(S.normal_cdf((F.col("s_suppkey") % 800) / 100.0 - 4), 10).alias("p"))
 
 
 @query("coordinate_overrides", """SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN p_size + 0.5::DOUBLE ELSE o.lat END AS lat, CASE WHEN p_size > 25 THEN 'own' WHEN o.lat IS NOT NULL THEN 'override' ELSE 'none' END AS coordinates

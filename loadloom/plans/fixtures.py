@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
+
 
 def read(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/{name}.parquet")
@@ -45,5 +47,33 @@ places AS (SELECT s_suppkey AS k, 32 + (s_suppkey * 37 % 1000) / 100.0::DOUBLE A
 spots AS (SELECT p_partkey AS k, 32 + (p_partkey * 37 % 1000) / 100.0::DOUBLE AS lat, -124 + (p_partkey * 91 % 1000) / 100.0::DOUBLE AS lon FROM part)"""
 
 
+def _horner(x: str, coefficients) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def quantile_sql(p: str) -> str:
+    """The normal quantile of an SQL expression, by the same approximation."""
+    tail = lambda t: f"({_horner(t, S.ACKLAM_C)} / ({_horner(t, S.ACKLAM_D)} * {t} + 1))"
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    middle = f"({_horner(r, S.ACKLAM_A)} * ({p} - 0.5) / ({_horner(r, S.ACKLAM_B)} * {r} + 1))"
+    low, high = tail(f"sqrt(-2 * ln({p}))"), tail(f"sqrt(-2 * ln(1 - {p}))")
+    return f"CASE WHEN {p} < 0.02425 THEN {low} WHEN {p} <= 0.97575 THEN {middle} ELSE -{high} END"
+
+
+def cdf_sql(x: str) -> str:
+    """The normal distribution function of an SQL expression within 7 of 0, by the same approximation."""
+    a = f"abs({x})"
+    tail = f"(exp(-{a} * {a} / 2) * {_horner(a, S.HART_A)} / {_horner(a, S.HART_B)})"
+    return f"CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+def uniform_sql(*parts: str) -> str:
+    """A number in (0, 1) from a hash of texts."""
+    return f"((('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
 def sql(rest: str) -> str:
     return f"WITH {SQL} {rest}"

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import allocation, checks, cleaning, comparison, external, frames, learning, matching, nodal, nodes, proportional, scenarios, statistics, stochastic, testing, weights  # noqa: F401
+    from . import allocation, checks, cleaners, cleaning, comparison, external, files, frames, learning, matching, nodal, nodes, proportional, scenarios, statistics, stochastic, testing, weights  # noqa: F401

@@ -23,12 +23,17 @@ def envelope_coarsen(s, d):
     return E.coarsen(E.fit_envelope(X.profiles(s, d)), ["month"]).select("unit", "month", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
-@query("envelope_percentiles")
+PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
+@query("envelope_percentiles", f"""WITH q AS (SELECT l_suppkey AS unit, quantile_cont(l_quantity, {list(PERCENTILES)}) AS v FROM lineitem GROUP BY 1), x AS (SELECT unit, unnest(v) AS load, unnest({list(PERCENTILES)}::DOUBLE[]) AS p FROM q),
+  z AS (SELECT unit, load, {X.quantile_sql("p")} AS z FROM x) SELECT unit, round(regr_intercept(load, z), 6) AS mu, round(regr_slope(load, z), 6) AS sigma FROM z GROUP BY unit""")
 def envelope_percentiles(s, d):
     x = X.read(s, d, "lineitem", "l_suppkey", "l_quantity").groupBy(F.col("l_suppkey").alias("unit"))
-    ps = (0.1, 0.25, 0.5, 0.75, 0.9)
-    long = x.agg(F.percentile("l_quantity", F.array(*map(F.lit, ps))).alias("v"))
-    return E.fit_percentiles(long.select("unit", F.posexplode("v").alias("i", "load")).withColumn("percentile", F.element_at(F.array(*map(F.lit, ps)), F.col("i") + 1)))
+    ps = F.array(*map(F.lit, PERCENTILES))
+    long = x.agg(F.percentile("l_quantity", ps).alias("v"))
+    fitted = E.fit_percentiles(long.select("unit", F.posexplode("v").alias("i", "load")).withColumn("percentile", F.element_at(ps, F.col("i") + 1)))
+    return fitted.select("unit", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
 HOURLY = "hs AS (SELECT region, t, mw, hour(t)::INT AS hour FROM series)"
@@ -52,13 +57,17 @@ def system_cells(s, d):
     return E.system_cells(_hourly(s, d), E.fit_envelope(X.profiles(s, d))).select("hour", F.round("f", 6).alias("f"), F.round("rho", 6).alias("rho"))
 
 
-@query("generate_draw")
+DRAWN = f"""{CELLS}, eh AS (SELECT unit, hour, avg(mu) AS mu, sqrt(avg(sigma * sigma) + var_pop(mu)) AS sigma FROM env GROUP BY ALL), zs AS (SELECT region, t, hour, (mw - avg(mw) OVER w) / nullif(stddev_samp(mw) OVER w, 0) AS z FROM hs WINDOW w AS (PARTITION BY region, hour)),
+  us AS (SELECT region, unit, hour, z, rho, mu, sigma, {X.uniform_sql("'7|0'", "unit", "strftime(t, '{when}')")} AS u FROM zs JOIN cells USING (hour) JOIN eh USING (hour)), ws AS (SELECT *, sqrt(rho) * z + sqrt(1 - rho) * ({X.quantile_sql("u")}) AS w FROM us)"""
+
+
+@query("generate_draw", X.sql(DRAWN.replace("{when}", "%Y-%m-%d") + " SELECT region, unit, hour, round(avg(mu + sigma * w), 6) AS mean_mw, count(*)::BIGINT AS n_hours FROM ws GROUP BY ALL"))
 def generate_draw(s, d):
     """Cell means of one draw for each region; the hourly rows are never kept."""
     env = E.coarsen(E.fit_envelope(X.profiles(s, d)), ["hour"])
     hourly = _hourly(s, d)
     drawn = E.generate(env, E.standardised(hourly), E.system_cells(hourly, E.fit_envelope(X.profiles(s, d))), 7, 0)
-    return drawn.groupBy("region", "unit", "hour").agg(F.avg("load").alias("mean_mw"), F.count("*").alias("n_hours"))
+    return drawn.groupBy("region", "unit", "hour").agg(F.round(F.avg("load"), 6).alias("mean_mw"), F.count("*").alias("n_hours"))
 
 
 @query("decay_moments", X.sql(f""", {HOURLY}, w AS (SELECT *, pow(0.5, date_diff('day', t::DATE, (SELECT max(t)::DATE FROM hs)) / 10.0::DOUBLE) AS w FROM hs),

@@ -45,11 +45,20 @@ def weights_conserve(s, d):
     return W.single_stage(_loads(s, d), X.units(s, d)).groupBy("region", "month", "hour").agg(F.round(F.sum("weight"), 9).alias("total"), F.count("*").alias("n"))
 
 
-@query("flagship_disaggregate", X.sql(f"""{WEIGHTS} SELECT s.region, unit, month(t)::INT AS month, hour(t)::INT AS hour, round(sum(mw * weight), 6) AS load
+@query("flagship_disaggregate", X.sql(f"""{WEIGHTS} SELECT s.region, unit, month(t)::INT AS month, hour(t)::INT AS hour, round(sum(mw * weight), 7) AS load
   FROM series s JOIN w ON w.region = s.region AND w.month = month(t) AND w.hour = hour(t) GROUP BY ALL"""))
 def flagship_disaggregate(s, d):
+    """Every region's series over its units, by cell; the sum is taken below the join, as its keys are the join's."""
+    dealt = W.disaggregate_by(X.series(s, d), W.single_stage(_loads(s, d), X.units(s, d)), month=F.month("t"), hour=F.hour("t"))
+    return dealt.select("region", "unit", "month", "hour", F.round("energy", 7).alias("load"))
+
+
+@query("hourly_loads", X.sql(f"""{WEIGHTS} SELECT s.region, unit, t, round(mw * weight, 7) AS load
+  FROM series s JOIN w ON w.region = s.region AND w.month = month(t) AND w.hour = hour(t)"""))
+def hourly_loads(s, d):
+    """The same hour by hour."""
     hourly = W.disaggregate(X.series(s, d), W.single_stage(_loads(s, d), X.units(s, d)))
-    return hourly.groupBy("region", "unit", "month", "hour").agg(F.round(F.sum("load"), 6).alias("load"))
+    return hourly.select("region", "unit", "t", F.round("load", 7).alias("load"))
 
 
 @query("disaggregate_totals", X.sql(f"""{WEIGHTS} SELECT s.region, unit, round(sum(mw * weight), 3) AS energy

@@ -61,6 +61,14 @@ def gaps(df: DataFrame, keys: Sequence[str], t: str, hours: int = 1) -> DataFram
     return df.withColumn("seconds", step).where(F.col("seconds") != 3600 * hours)
 
 
+def gapless(df: DataFrame, keys: Sequence[str], t: str, hours: int = 1) -> DataFrame:
+    """The rows; one that doesn't follow the one before by exactly ``hours`` raises an error."""
+    w = Window.partitionBy(*keys).orderBy(t)
+    step = F.unix_timestamp(t) - F.unix_timestamp(F.lag(t).over(w))
+    wrong = F.raise_error(F.concat(F.lit("the series has a gap or a repeat at "), F.col(t).cast("string"))).cast("boolean")
+    return df.withColumn("_step", step).where(F.when(F.col("_step") != 3600 * hours, wrong).otherwise(F.lit(True))).drop("_step")
+
+
 def week_calendar(starts: DataFrame, offset_hours: int = -8) -> DataFrame:
     """The 168 hours of each representative week (season, start as UTC) with month and hour at a fixed offset from UTC."""
     hours = starts.select("season", "start", F.explode(F.sequence(F.lit(0), F.lit(167))).alias("i"))
@@ -89,6 +97,16 @@ def write_printed(df: DataFrame, path: str, order: Sequence[str], compression: s
     df.orderBy(*order).write.mode("overwrite").option("compression", compression or "none").csv(path, header=True)
 
 
+def write_wide(df: DataFrame, path: str, row: str, column: str, value: str, names: Sequence, digits: int, metadata: DataFrame | None = None) -> None:
+    """A wide table of demand as compressed CSV in order of its rows: first the columns of ``metadata`` (with ``row``) as they are, then
+    one for each name, with a fixed number of digits.  Rows are dealt by range, so that no task has all of them."""
+    table = printed(wide(df, row, column, value, names), [str(n) for n in names], digits)
+    if metadata is not None:
+        first = [c for c in metadata.columns if c != row]
+        table = metadata.join(table, row).select(*first, row, *[str(n) for n in names])
+    table.repartitionByRange(row).sortWithinPartitions(row).write.mode("overwrite").option("compression", "gzip").csv(path, header=True)
+
+
 def write_package(series: DataFrame, shares: DataFrame, path: str) -> None:
     """The compact form of hourly results: a series by cell and each cell's shares."""
     series.write.mode("overwrite").parquet(f"{path}/series")
