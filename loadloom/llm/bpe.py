@@ -219,6 +219,7 @@ def encode_documents(df: DataFrame, vocabulary_path: str, keep: Sequence[str] =
                     out.append(pa.array([c.decode(x) for x in ids], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
         c.words.clear()
+        c.fits.clear()
 
     return arrow_map(kept, run, schema)
 

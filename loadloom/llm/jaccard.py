@@ -1,6 +1,6 @@
 """N-gram Jaccard join with a token-group matrix: exact, on whole texts.
 
-A document's set holds the 64-bit hashes of its distinct word shingles.  Equal sets are one class.  Classes are
+A document's set holds the 64-bit hashes of its distinct word shingles.  Sets of equal 128-bit digests are one class.  Classes are
 compared by the prefix principle: in any one order of all tokens, two sets of similarity t or more share a token
 among the first n - ceil(t n) + 1 of each.  The order here has tokens that hash low first, of these those
 listed by at most ``FREQUENT`` classes first, then by hash; so boilerplate that many documents share hardly ever is a candidate's
@@ -21,7 +21,7 @@ link between different components is lost.
 
 Scale: rows between tasks are tokens of prefixes (about a third of all shingles), counts of them, and sets of
 classes with a checked pair.  Counts are pre-aggregated; tokens of a third of all documents are met in sort-merge
-joins, which Spark splits.  Broadcast: class ids, if at most ``BROADCAST_IDS``; beyond that they are joined.
+joins, which Spark splits.  Broadcast: rows of classes, if at most ``BROADCAST_BYTES`` as hashed; beyond that they are joined.
 
 Edge cases: null and empty texts, or texts of white space, have an empty set and are linked with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows and ties share a component; null ids take part, but name
@@ -48,7 +48,7 @@ CUTOFF, FREQUENT, GROUP, WHOLE = 0.30, 32, 32, 32
 ROUNDS, ENOUGH = 4, 10
 #: Of a group that is opened as a whole.
 GROUP_TOKENS, GROUP_CLASSES, SIZES = 131_072, 512, 0.15
-BROADCAST_IDS = 4_000_000
+BROADCAST_BYTES, ROW_BYTES, TOLD = 64 << 20, 64, 500_000
 CACHED = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOW = int(CUTOFF * 2**64) - 2**63
@@ -105,8 +105,8 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return shingle_sets([text], width)[0]
 
 
-def _key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def prefix_length(n, t: int):
@@ -115,7 +115,7 @@ def prefix_length(n, t: int):
 
 
 def _sketched(docs: DataFrame, t: int, width: int) -> DataFrame:
-    """``_id``, ``_key`` (of the set), ``_n``, ``_low`` (tokens that hash low) and ``_tokens``: those, the prefix by hash at least;
+    """``_id``, ``_digest`` (of the set, null if empty), ``_n``, ``_low`` (tokens that hash low) and ``_tokens``: those, the prefix by hash at least;
     and the columns of ``docs`` after its second."""
     extra = docs.schema.fields[2:]
 
@@ -128,13 +128,13 @@ def _sketched(docs: DataFrame, t: int, width: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in kept]))).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([_key(s) if len(s) else None for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array(low, pa.int64()), tokens, *batch.columns[2:]],
-                    names=["_id", "_key", "_n", "_low", "_tokens", *names],
+                    [batch.column(0), pa.array(map(_digest, rows), pa.binary()), pa.array([len(s) for s in rows], pa.int64()), pa.array(low, pa.int64()), tokens, *batch.columns[2:]],
+                    names=["_id", "_digest", "_n", "_low", "_tokens", *names],
                 )
         _words.clear()
 
     names = [f.name for f in extra]
-    return arrow_map(docs, run, ", ".join(["_id long, _key long, _n long, _low long, _tokens array<long>", *(f"{f.name} {f.dataType.simpleString()}" for f in extra)]))
+    return arrow_map(docs, run, ", ".join(["_id long, _digest binary, _n long, _low long, _tokens array<long>", *(f"{f.name} {f.dataType.simpleString()}" for f in extra)]))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -142,15 +142,15 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         for whole in batches:
             for batch in pieces(whole, 1, 256):
                 rows = shingle_sets(batch.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([pa.array([_key(s) if len(s) else None for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["_key", "_set"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, rows), pa.binary()), pa.array([s.tobytes() for s in rows], pa.binary())], names=["_digest", "_set"])
         _words.clear()
 
-    return arrow_map(docs, run, "_key long, _set binary")
+    return arrow_map(docs, run, "_digest binary, _set binary")
 
 
 def _checked(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Broadcast if the ids are few enough."""
-    return F.broadcast(df) if (df.count() if n is None else n) <= BROADCAST_IDS else df
+    """Broadcast if the rows, of a few numbers each, are few enough."""
+    return F.broadcast(df) if (df.count() if n is None else n) * ROW_BYTES <= BROADCAST_BYTES else df
 
 
 def _fits(a: Column, b: Column, t: int) -> Column:
@@ -163,11 +163,11 @@ def _needed(a: Column, b: Column, t: int) -> Column:
 
 def _class_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """``_key`` and ``_set``, made again from the text of the class's first document."""
-    met = keys.select("_key").distinct()
-    ids = materialise(classes.join(met, "_key", "left_semi").select(F.col("_first").alias("_id")).distinct(), "ids")
+    met = materialise(classes.join(keys.select("_key").distinct(), "_key", "left_semi").select("_key", "_digest", "_first"), "ids")
+    ids = met.select(F.col("_first").alias("_id")).distinct()
     chosen = docs.join(_checked(ids), docs["_id"].eqNullSafe(ids["_id"]), "left_semi")
-    sets = _sets(chosen, width).where(F.col("_key").isNotNull())
-    return sets.groupBy("_key").agg(F.first("_set").alias("_set")).join(met, "_key", "left_semi")
+    sets = _sets(chosen, width).where(F.col("_digest").isNotNull())
+    return sets.groupBy("_digest").agg(F.first("_set").alias("_set")).join(_checked(met.select("_key", "_digest")), "_digest").select("_key", "_set")
 
 
 PACK = "_g struct<_anchor: long, _slice: long>, _keys binary, _roots binary, _sizes binary, _tokens binary, _rows binary"
@@ -249,7 +249,7 @@ def _may_link(t: int):
     """The pairs of groups for which some pair of members may be linked, with those members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[int] = set()  # members that this task has named
+        told: set[int] = set()  # members that this task has named lately
         for batch in batches:
             found = [np.concatenate(_group_links(*_sides(batch, k, 2), t, prefixes=True)).tolist() for k in range(batch.num_rows)]
             kept = pa.array([len(x) > 0 for x in found], pa.bool_())
@@ -257,6 +257,8 @@ def _may_link(t: int):
             for x in filter(None, found):
                 new.append([y for y in x if y not in told])
                 told.update(x)
+                if len(told) > TOLD:
+                    told.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(new, pa.list_(pa.int64()))], names=["_g", "_h", "_keys"])
 
     return run
@@ -311,19 +313,21 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Its columns ``extra`` are carried along.  ``root_col`` names a column for the component's key, which tells components
     apart where ids are null or repeat; it is null for texts without shingles."""
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), *extra)
-    sketches = materialise(_sketched(docs, t, width), "sketches")
+    sketches = materialise(_sketched(docs, t, width).withColumn("_row", F.monotonically_increasing_id()), "sketches")
     docs = docs.select("_id", "_text")
-    classes = materialise(sketches.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_id").alias("_first"), F.first("_n").alias("_n"), F.first("_low").alias("_low")), "classes")
-
-    # The lists of each class once: those of its first document.
-    firsts = classes.select("_key", "_first")
-    lists = sketches.select("_id", "_key", "_tokens")
-    lists = lists.join(_checked(firsts), (lists["_key"] == firsts["_key"]) & lists["_id"].eqNullSafe(firsts["_first"])).select(lists["_key"], "_tokens")
+    # A class goes by the number of its first row: that of the smallest id.
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row"))
+    classes = sketches.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(first.alias("_f"), F.first("_n").alias("_n"), F.first("_low").alias("_low"))
+    classes = materialise(classes.select("_digest", F.col("_f._row").alias("_key"), F.col("_f._id").alias("_first"), "_n", "_low"), "classes")
+
+    # The lists of each class once: those of its first row.
+    firsts = classes.select(F.col("_key").alias("_row"))
+    lists = sketches.join(_checked(firsts), "_row", "left_semi").select(F.col("_row").alias("_key"), "_tokens")
     listed = lists.select("_key", F.posexplode("_tokens").alias("_rank", "_token"))
     counts = listed.groupBy("_token").agg(F.count("*").alias("_df")).where(F.col("_df") > 1)
     shared = listed.join(counts, "_token")
     shared = materialise(shared.select("_token", "_key", "_rank", "_df"), "tokens")
-    named = materialise(sketches.select("_id", "_key", "_n", *extra), "named")
+    named = materialise(sketches.select("_id", "_digest", "_n", *extra), "named")
     discard(sketches)
 
     of_class = Window.partitionBy("_key")
@@ -370,24 +374,27 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchored = anchored.withColumn("_sized", F.floor(F.ln("_n") / SIZES))
     amounts = anchored.groupBy("_sized").agg(F.greatest(F.ceil(F.sum("_n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_CLASSES)).alias("_parts"))
     anchored = anchored.join(F.broadcast(amounts), "_sized")  # as many rows as there are magnitudes of sizes
-    anchored = anchored.select("_key", "_n", "_root", F.xxhash64("_sized", F.pmod(F.xxhash64("_token"), F.col("_parts"))).alias("_anchor"))
+    anchored = anchored.select("_key", "_n", "_root", "_sized", F.xxhash64("_sized", F.pmod(F.xxhash64("_token"), F.col("_parts"))).alias("_anchor"))
     slices = anchored.groupBy("_anchor").agg(F.greatest(F.ceil(F.sum("_n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_CLASSES)).alias("_slices"))
     anchored = anchored.join(slices, "_anchor").withColumn("_slice", F.pmod(F.xxhash64("_key"), F.col("_slices"))).drop("_slices")
     anchored = materialise(anchored, "anchored")
     placed = usual.select("_token", "_key").join(anchored, "_key").withColumn("_g", F.struct("_anchor", "_slice"))
-    spans = placed.groupBy("_token", "_g").agg(F.min("_n").alias("_n0"), F.max("_n").alias("_n1"))
+    spans = placed.groupBy("_token", "_g", "_sized").agg(F.min("_n").alias("_n0"), F.max("_n").alias("_n1"))
     whole = anchored.groupBy(F.struct("_anchor", "_slice").alias("_h")).agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.min("_n").alias("_n0"), F.max("_n").alias("_n1"))
     # Groups that share a token and may differ so much in size; then each class's overlap with the group.
     sizes_fit = lambda n0, n1, m0, m1: (100 * F.col(n1) >= t * F.col(m0)) & (100 * F.col(m1) >= t * F.col(n0))
-    mine = placed.groupBy("_g", "_token").agg(F.count("*").alias("_many"), F.min("_n").alias("_m0"), F.max("_n").alias("_m1"))
-    pairs = mine.join(spans.withColumnRenamed("_g", "_h"), "_token").where(sizes_fit("_m0", "_m1", "_n0", "_n1"))
+    mine = placed.groupBy("_g", "_token", "_sized").agg(F.min("_n").alias("_m0"), F.max("_n").alias("_m1"))
+    # Members of a group are of one band of sizes; those of larger ones meet only where a similar size can be.
+    apart = int(np.ceil(np.log(100 / t) / SIZES))
+    mine = mine.withColumn("_band", F.explode(F.sequence(F.col("_sized"), F.col("_sized") + apart)))
+    pairs = mine.join(spans.withColumnsRenamed({"_g": "_h", "_sized": "_band"}), ["_token", "_band"]).where(sizes_fit("_m0", "_m1", "_n0", "_n1") & ((F.col("_band") > F.col("_sized")) | (F.col("_g") <= F.col("_h"))))
     pairs = pairs.groupBy("_g", "_h").agg(F.count("*").alias("_tokens")).join(whole, "_h")
     sized = anchored.groupBy(F.struct("_anchor", "_slice").alias("_g")).agg(F.min("_n").alias("_m0"), F.max("_n").alias("_m1"), F.min("_root").alias("_s0"), F.max("_root").alias("_s1"))
     pairs = pairs.join(sized, "_g").where(F.least("_r0", "_s0") != F.greatest("_r1", "_s1"))
     least = F.greatest(F.col("_n0"), F.ceil(t * F.col("_m0") / 100.0))
     longest = F.greatest(F.expr(f"({t} * _m1 + 99) div 100 - 1"), F.expr(f"({t} * _n1 + 99) div 100 - 1"))
     pairs = pairs.where(F.col("_tokens") + longest >= _needed(F.col("_m0"), least, t))
-    pairs = materialise(pairs.where(F.col("_g") <= F.col("_h")).select("_g", "_h"), "met")
+    pairs = materialise(pairs.select("_g", "_h"), "met")
 
     def paired(pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs with what both groups hold; ``members``: _g, _key, _root, _n, _set."""
@@ -425,9 +432,9 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(links.unionByName(_verified(asked, classes, docs, t, width)), "links")
 
     roots = components(links)
-    naming = classes.join(roots, classes["_key"] == roots["u"], "left").select("_key", F.coalesce("root", "_key").alias("_root"), "_first")
+    naming = classes.join(roots, classes["_key"] == roots["u"], "left").select("_digest", F.coalesce("root", "_key").alias("_root"), "_first")
     names = naming.groupBy("_root").agg(F.min("_first").alias("_name"))
-    out = named.join(naming.join(names, "_root").select("_key", "_name", "_root"), "_key", "left")
+    out = named.join(naming.join(names, "_root").select("_digest", "_name", "_root"), "_digest", "left")
     more = [*extra, *([F.col("_root").alias(root_col)] if root_col else [])]
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_name", "_id").alias("component_id"), *more)
 

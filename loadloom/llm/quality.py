@@ -4,7 +4,7 @@ The model is one of bytes, of order ``ORDER``, for each language, trained on all
 which set the thresholds.  Counts, continuation counts, discounts, context weights and the interpolated probabilities are
 DataFrames; orders meet in equi-joins of count tables dealt by language and n-gram.  A document's score is its mean
 surprise a byte, drawn towards the language's mean by ``PRIOR_BYTES`` bytes, so that a few words don't decide; it is kept
-if its perplexity is at most the language's quantile times a factor.  (A lower limit would reject clean texts and hardly any
+if its perplexity is at most the language's quantile.  (A lower limit would reject clean texts and hardly any
 others: text that repeats words is no less surprising to a model of bytes.)
 
 Scale: text is never shuffled.  Tasks send counts of distinct n-grams of some MB of text each.  Byte n-grams of a language
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialise, table
 
 ORDER, FOLDS, PRIOR_BYTES = 5, 5, 96
-UPPER, SLACK = 0.99, 1.1
-MODEL_ROWS, TRUSTED_IDS = 4_000_000, 4_000_000
+UPPER = 0.995
+MODEL_ROWS, TRUSTED_IDS = 4_000_000, 1_000_000
 CHUNK = 1 << 19
 MASK = [(1 << (8 * k)) - 1 for k in range(ORDER + 1)]
 
@@ -213,7 +213,7 @@ def classify(
     means = fresh.groupBy("_lang").agg((F.sum("_nll") / F.sum("_bytes")).alias("_mean"))
     drawn = F.exp((F.col("_nll") + PRIOR_BYTES * F.col("_mean")) / (F.col("_bytes") + PRIOR_BYTES))
     limits = fresh.join(F.broadcast(means), "_lang").withColumn("_score", drawn).groupBy("_lang")
-    limits = limits.agg((F.percentile_approx("_score", UPPER, 10_000) * SLACK).alias("high"))
+    limits = limits.agg(F.percentile_approx("_score", UPPER, 10_000).alias("high"))
     limits = limits.join(means, "_lang")
     out = scored.join(F.broadcast(limits), "_lang", "left").withColumn("score", drawn)
     keep = (F.col("_bytes") > 0) & F.coalesce(F.col("score") <= F.col("high"), F.lit(True))
