@@ -1,24 +1,34 @@
 """The corpus pipeline: quality, near duplicates, personal data, mixture, tokens.
 
-Each stage is a function (spark, docs, sf_dir) -> DataFrame; ``run`` writes what one returns to the shared folder and reads
-it again as the next one's documents.  Rejected documents are taken out by id and a hash of the text, so that rows that
-repeat an id are told apart; the list of them is broadcast if it is short enough, and joined beyond that.
+Each stage is a function (spark, docs, sf_dir) -> DataFrame; ``run`` writes what one returns to the shared folder, reads
+it again as the next one's documents and deletes what the stage wrote on its way.  Rejected documents are taken out by id and a hash of
+the text, so that rows that repeat an id are told apart; the list of them, two numbers a row, is broadcast up to
+``BROADCAST_BYTES`` as hashed, and joined beyond that; both give equal rows.
+
+Scale: a stage does what its operator does, and reads and writes each document once more.  Texts are shuffled only where the mixture
+puts them in order, and by a join of rejected documents beyond the bound of a broadcast.
+
+Edge cases: null ids are documents of their own in all stages; rows that repeat an id but not the text are documents of their own,
+those that repeat both are one after the second stage; null and empty texts have no quality and go in the first; an empty table
+gives no rows; further columns are carried along, whatever their names, until the last stage, which has digests only.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadloom.llm import bpe, common, jaccard, mixing, pii, quality
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` without those that have the ``_id`` and ``_hash`` of a rejected one."""
     rejected = common.materialise(rejected.select("_id", "_hash").distinct(), "rejected")
-    side = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
+    side = F.broadcast(rejected) if rejected.count() * ROW_BYTES <= BROADCAST_BYTES else rejected
     same = docs["doc_id"].eqNullSafe(side["_id"]) & (F.xxhash64(docs["text"]) == side["_hash"])
     return docs.join(side, same, "left_anti")
 
@@ -79,5 +89,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, common.finished(functools.partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
+        if hasattr(before, "stored_at"):
+            common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
