@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import os
 import random
 import re
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loadloom.llm import ann, pii, quotes, topk
+from loadloom.llm import ann, common, pii, quotes, topk, url_filter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -181,3 +182,31 @@ def test_surrogates_are_distinct_over_a_whole_table(spark):
         assert len(values) == len({*values}), kind
         real = before[kind] & {*values}
         assert not real or kind == "secret" and all(re.fullmatch("[a-z][0-9]-----", x) for x in real), kind
+
+
+def test_very_long_texts(spark):
+    lines = [f"line {i} of a long message" for i in range(40_000)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "assistant", "\n".join("> " + x for x in lines) + "\nyes"), (1, 2, "user", ">" * 500 + " deep\n" + "> line 39999 of a long message\nno")]
+    got = {r.turn: r for r in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].reply_to == 0 and got[1].text == "yes" and got[2].reply_to == 0 and got[2].depth == 1 and got[2].text.startswith(">>>>") and got[2].text.endswith("no")
+    urls = ["http://" + "a." * 50_000 + "example.com/en/" + "x" * 1_000_000, "http://example.com/" + "en/" * 100_000, "x" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, url_filter.rule_table(spark)).collect()}
+    assert [got[i].rule for i in range(3)] == ["example.com/en/", "example.com/en/", None] and got[0].host.startswith("a.a.") and len(got[1].path) == 300_001
+
+
+def test_tables_of_a_stage_are_deleted(spark, tmp_path):
+    kept = []
+
+    def stage():
+        kept.append(common.materialise(spark.range(5).toDF("a"), "inner"))
+        return kept[0].withColumn("b", F.lit(1))
+
+    out = common.finished(stage, "outer")
+    place = lambda df: df.stored_at.removeprefix("file://")
+    assert out.count() == 5 and os.path.isdir(place(out)) and not os.path.isdir(place(kept[0]))
+    common.discard(out)
+    assert not os.path.isdir(place(out))
+    with pytest.raises(Exception):
+        common.finished(lambda: spark.range(3).selectExpr("raise_error('x') AS a"), "bad")
+    assert common._open == []
