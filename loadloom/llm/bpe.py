@@ -39,7 +39,7 @@ END = "\n"
 #: Outside these blocks Unicode versions differ in what is a letter or a number; texts with such characters are cut into
 #: pieces by the tokenizers library itself.
 OTHERS = "[^\u0000-\u0557\u0559-\u058a\u058d-\u088e\u2000-\u2064\u20a0-\u20bf\u3000-\u3096\u3099-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]"
-CACHED_WORDS, CACHED_LENGTH, CACHED_PAIRS = 120_000, 48, 200_000
+CACHED_WORDS, CACHED_LENGTH, CACHED_PAIRS = 50_000, 48, 60_000
 ROWS = 512
 
 

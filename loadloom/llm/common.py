@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: A word, as a pattern for Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,7 +81,7 @@ def finished(make: Callable[[], DataFrame], label: str) -> DataFrame:
     return out
 
 
-def pieces(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and ``size`` bytes in ``column``, but of one row at least: so much is held as Python objects."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
