@@ -63,7 +63,9 @@ def checked_edges(s, d):
   SELECT other, month, round(sum(max_load * share), 5) AS v FROM t JOIN profiles ON unit = k GROUP BY ALL"""))
 def mapped_profiles(s, d):
     values = X.profiles(s, d).groupBy(F.col("unit").alias("k"), "month").agg(F.sum("max_load").alias("v"))
-    return M.apply_mapping(values, P.nearest_with_ties(*_sides(s, d)), ["month"]).select("other", "month", F.round("v", 5).alias("v"))
+    for step in P.nearest_spots(*_sides(s, d)):
+        values = M.apply_mapping(values, step.select("k", "other", "share"), ["month"]).withColumnRenamed("other", "k")
+    return values.select(F.col("k").alias("other"), "month", F.round("v", 5).alias("v"))
 
 
 @query("mutual_nearest", X.sql(f""", {PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(km, 9), other) AS a, row_number() OVER (PARTITION BY other ORDER BY round(km, 9), k) AS b FROM pairs WHERE km <= 100)
