@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, materialise, pieces, table
+from .common import arrow_map, discard, let_go, materialise, pieces, table
 from .components import components
 
 CUTOFF, FREQUENT, GROUP, WHOLE = 0.30, 32, 32, 32
@@ -50,6 +50,7 @@ ROUNDS, ENOUGH = 4, 10
 GROUP_TOKENS, GROUP_CLASSES, SIZES = 131_072, 512, 0.15
 BROADCAST_BYTES, ROW_BYTES, TOLD = 64 << 20, 64, 500_000
 CACHED = 150_000
+ROUND_BYTES = 256 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOW = int(CUTOFF * 2**64) - 2**63
 
@@ -161,9 +162,10 @@ def _needed(a: Column, b: Column, t: int) -> Column:
     return F.ceil(t * (a + b) / (100.0 + t))
 
 
-def _class_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``_key`` and ``_set``, made again from the text of the class's first document."""
+def _class_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int, used: list[DataFrame]) -> DataFrame:
+    """``_key`` and ``_set``, made again from the text of the class's first document; what is written for it is added to ``used``."""
     met = materialise(classes.join(keys.select("_key").distinct(), "_key", "left_semi").select("_key", "_digest", "_first"), "ids")
+    used.append(met)
     ids = met.select(F.col("_first").alias("_id")).distinct()
     chosen = docs.join(_checked(ids), docs["_id"].eqNullSafe(ids["_id"]), "left_semi")
     sets = _sets(chosen, width).where(F.col("_digest").isNotNull())
@@ -283,9 +285,11 @@ def _open(t: int):
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: int, width: int) -> DataFrame:
-    """Of ``a``, ``b`` those whose sets are similar: ``u``, ``v``.  Sets are made again from the texts of the classes met."""
+    """Of ``a``, ``b`` those whose sets are similar: ``u``, ``v``, written.  Sets are made again from the texts of the classes met; as
+    they are large, their shuffle files go before anything else is done."""
     pairs = materialise(pairs.select("a", "b"), "pairs")
-    sets = _class_sets(pairs.select(F.col("a").alias("_key")).union(pairs.select("b")), classes, docs, width)
+    used = [pairs]
+    sets = _class_sets(pairs.select(F.col("a").alias("_key")).union(pairs.select("b")), classes, docs, width, used)
     left = sets.select(F.col("_key").alias("a"), F.col("_set").alias("_left"))
     right = sets.select(F.col("_key").alias("b"), F.col("_set").alias("_right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
@@ -300,7 +304,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: int, wid
             kept = pa.array(similar, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
 
-    return arrow_map(both, check, "u long, v long")
+    links = materialise(arrow_map(both, check, "u long, v long"), "links")
+    discard(*used)
+    return links
 
 
 def _rooted(prefix: DataFrame, roots: DataFrame) -> DataFrame:
@@ -352,7 +358,7 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spokes = live.join(hubs.select("_token", "_hub"), "_token").where(F.col("_hub.root") != F.col("_root"))
         spokes = spokes.groupBy("_key", "_n", F.col("_hub.hub").alias("_to")).agg(F.count("*").alias("_c")).where(F.col("_c") * 2 >= F.expr(f"_n - ({t} * _n + 99) div 100 + 1"))
         best = spokes.groupBy("_key").agg(F.max(F.struct("_c", "_to")).alias("_b")).select(F.col("_b._to").alias("a"), F.col("_key").alias("b"))
-        more = materialise(_verified(best, classes, docs, t, width), "links")
+        more = _verified(best, classes, docs, t, width)
         links = more if links is None else links.unionByName(more)
         roots = components(links)
         new, found = more.count(), found + more.count()
@@ -396,28 +402,48 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.where(F.col("_tokens") + longest >= _needed(F.col("_m0"), least, t))
     pairs = materialise(pairs.select("_g", "_h"), "met")
 
-    def paired(pairs: DataFrame, members: DataFrame) -> DataFrame:
-        """Pairs with what both groups hold; ``members``: _g, _key, _root, _n, _set."""
+    def paired(pairs: DataFrame, members: DataFrame, run, schema: str, label: str) -> DataFrame:
+        """What ``run`` makes of pairs with what both groups hold, written; ``members``: _g, _key, _root, _n, _set.
+
+        A group is sent once for each pair that it is in, which grows faster than the groups do: pairs are dealt into rounds, each
+        of which sends twice the groups' size, or ``ROUND_BYTES``, and has its shuffle files deleted before the next."""
         packs = materialise(arrow_map(members.groupBy("_g").agg(F.collect_list(F.struct("_key", "_root", "_n", "_set")).alias("_members")), _pack, PACK), "packs")
         parts = [c for c in packs.columns if c != "_g"]
-        both = pairs.join(packs, "_g").select("_g", "_h", *[F.col(c).alias(f"left{c}") for c in parts])
-        return both.join(packs.select(F.col("_g").alias("_h"), *parts), "_h").select("_g", "_h", *[f"left{c}" for c in parts], *parts)
+        held = packs.select("_g", sum(F.octet_length(c) for c in parts).cast("long").alias("_bytes"))
+        whole = held.agg(F.sum("_bytes")).first()[0] or 0
+        sent = pairs.join(held, "_g").agg(F.sum("_bytes")).first()[0] or 0
+        rounds = max(1, -(-sent // max(ROUND_BYTES, 2 * whole)))
+        out = None
+        for turn in range(rounds):
+            some = pairs.where(F.pmod(F.xxhash64("_g", "_h"), F.lit(rounds)) == turn)
+            both = some.join(packs, "_g").select("_g", "_h", *[F.col(c).alias(f"left{c}") for c in parts])
+            both = both.join(packs.select(F.col("_g").alias("_h"), *parts), "_h").select("_g", "_h", *[f"left{c}" for c in parts], *parts)
+            made = materialise(arrow_map(both, run, schema), label)
+            out = made if out is None else out.unionByName(made)
+            if turn == rounds - 1:
+                discard(packs, *free)
+                free.clear()
+            else:
+                let_go(packs)
+        return out
 
     # The union of a group's tokens of boilerplate first, its members' whole sets where that allows a link.
     tokens = placed.groupBy("_g", "_key", "_root", "_n").agg(F.collect_list("_token").alias("_set"))
-    pairs = paired(pairs, arrow_map(tokens, _as_bytes, "_g struct<_anchor: long, _slice: long>, _key long, _root long, _n long, _set binary"))
-    pairs = materialise(arrow_map(pairs, _may_link(t), "_g struct<_anchor: long, _slice: long>, _h struct<_anchor: long, _slice: long>, _keys array<long>"), "opened")
+    free = [pairs]
+    tokens = arrow_map(tokens, _as_bytes, "_g struct<_anchor: long, _slice: long>, _key long, _root long, _n long, _set binary")
+    pairs = paired(pairs, tokens, _may_link(t), "_g struct<_anchor: long, _slice: long>, _h struct<_anchor: long, _slice: long>, _keys array<long>", "opened")
     able = pairs.select(F.explode("_keys").alias("_key")).distinct()
     inside = anchored.withColumn("_g", F.struct("_anchor", "_slice")).join(able, "_key", "left_semi").select("_g", "_key", "_root", "_n")
-    sets = _class_sets(inside.select("_key"), classes, docs, width)
-    links = links.unionByName(arrow_map(paired(pairs.select("_g", "_h"), inside.join(sets, "_key")), _open(t), "u long, v long"))
-    links = materialise(links, "links")
+    sets = _class_sets(inside.select("_key"), classes, docs, width, free)
+    links = links.unionByName(paired(pairs.select("_g", "_h"), inside.join(sets, "_key"), _open(t), "u long, v long", "links"))
+    discard(anchored)
 
     # The rest: classes that share a rarer token with a group of another component.
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("_size"))
     rare = rooted.where(F.col("_df") <= FREQUENT).join(sizes, F.col("_root") == F.col("root"), "left").drop("root")
     rare = rare.withColumn("_size", F.coalesce("_size", F.lit(1))).withColumn("_slice", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_size") / GROUP)))
     cells = materialise(rare.select("_token", "_key", "_n", "_root", "_slice", F.struct("_size", "_root").alias("_order")), "cells")
+    discard(rooted)
     several = cells.groupBy("_token").agg(F.min("_order").alias("_least"), F.max("_order").alias("_most")).where(F.col("_least") != F.col("_most"))
     asking = cells.join(several, "_token").where(F.col("_order") != F.col("_most")).select("_token", "_key", "_n", "_order")
     matrix = cells.join(several, "_token", "left_semi").groupBy("_token", "_root", "_slice").agg(F.first("_order").alias("_of"))
@@ -429,7 +455,8 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     opened = opened.where(F.col("_c") + F.col("_usual") + top >= _needed(F.col("_n"), F.greatest("_n0", F.ceil(t * F.col("_n") / 100.0)), t))
     members = cells.select("_root", "_slice", F.col("_key").alias("_member"), F.col("_n").alias("_m")).distinct()
     asked = opened.join(members, ["_root", "_slice"]).where(_fits(F.col("_n"), F.col("_m"), t)).select(F.col("_key").alias("a"), F.col("_member").alias("b"))
-    links = materialise(links.unionByName(_verified(asked, classes, docs, t, width)), "links")
+    links = links.unionByName(_verified(asked, classes, docs, t, width))
+    discard(cells, often)
 
     roots = components(links)
     naming = classes.join(roots, classes["_key"] == roots["u"], "left").select("_digest", F.coalesce("root", "_key").alias("_root"), "_first")
