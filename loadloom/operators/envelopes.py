@@ -4,8 +4,10 @@ Cells are at most a few hundred, so tables by cell are broadcast."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +63,29 @@ def sibling_draws(base: DataFrame, siblings: DataFrame, z: DataFrame, cells: Dat
     if mode not in ("proportional", "quadrature"):
         raise ValueError(f"unknown mode: {mode}")
     days = z.groupBy(*keys, "cell", F.date_format("t", "yyyy-MM-dd").alias("_day")).agg(F.count("*").alias("_n"), F.sum("z").alias("_z"))
-    eps = normal_quantile(hash_uniform(F.lit(str(seed)), F.lit("sibling"), F.col("node").cast("string"), F.col("_day")))
-    met = siblings.select("node").distinct().crossJoin(F.broadcast(days))  # a calendar's days in each cell
-    noise = met.groupBy(*keys, "node", "cell").agg((F.sum(F.col("_n") * eps) / F.sum("_n")).alias("_eps"), (F.sum("_z") / F.sum("_n")).alias("_zbar"))
+    eps = lambda node, day: normal_quantile(hash_uniform(F.lit(str(seed)), F.lit("sibling"), node.cast("string"), day))
+    # eps depends on node and day only: each is drawn once, and a node's days are multiplied with the calendar's hours in each cell.
+    calendar = days.where("_day IS NOT NULL").toPandas()  # a calendar's days in each cell
+    names = sorted(set(calendar["_day"]))
+    cell_of = calendar.groupby([*keys, "cell"], dropna=False, sort=False)
+    hours = np.zeros((len(names), cell_of.ngroups))
+    hours[[names.index(d) for d in calendar["_day"]], cell_of.ngroup()] = calendar["_n"]
+    held = cell_of.ngroup().groupby(cell_of.ngroup()).head(1).index
+    labels = calendar.loc[held, [*keys, "cell"]].reset_index(drop=True)
+
+    def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch) if len(labels) else 0, 1000):
+                part = batch[at : at + 1000]
+                means = np.stack(part["_e"]) @ hours / hours.sum(0)
+                out = labels.iloc[np.tile(np.arange(len(labels)), len(part))].reset_index(drop=True)
+                yield out.assign(node=np.repeat(part["node"].to_numpy(), len(labels)), _eps=means.ravel())
+
+    kinds = dict(days.dtypes) | dict(siblings.dtypes)
+    drawn = siblings.select("node").distinct().select("node", F.transform(F.array(*map(F.lit, names)).cast("array<string>"), lambda day: eps(F.col("node"), day)).alias("_e"))
+    noise = drawn.mapInPandas(mixed, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "cell", "node")) + ", _eps double")
+    level = days.groupBy(*keys, "cell").agg((F.sum("_z") / F.sum("_n")).alias("_zbar"))
+    noise = noise.join(F.broadcast(level), [*keys, "cell"])  # a few cells
     rows = siblings.join(base, "base").join(F.broadcast(cells.select("cell", "rho")), "cell", "left")
     if keys:
         rows = rows.crossJoin(F.broadcast(z.select(*keys).distinct()))  # a few values
