@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,10 +155,34 @@ def feature_neighbours(units: DataFrame, donors: DataFrame, columns: Sequence[st
     spread = known.agg(*[f(f"x{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     scaled = lambda df: df.select("unit", *[((F.col(f"x{i}") - spread[f"m{i}"]) / (spread[f"s{i}"] or 1.0)).alias(f"x{i}") for i in range(len(columns))])
     right = scaled(known).select(F.col("unit").alias("donor"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(columns))])
-    met = scaled(filled(units)).crossJoin(F.broadcast(right))
-    distance = F.sqrt(sum((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(len(columns))))
-    w = Window.partitionBy("unit").orderBy(F.round("distance", 9), "donor")
-    return met.select("unit", "donor", distance.alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # Units of equal features are asked once; of donors with equal features only the k first can be among the k nearest.
+    xs, ys = [f"x{i}" for i in range(len(columns))], [f"y{i}" for i in range(len(columns))]
+    right = right.withColumn("_r", F.row_number().over(Window.partitionBy(*ys).orderBy("donor"))).where(F.col("_r") <= k).select("donor", *ys)
+    known = right.toPandas()  # at most ``most_donors``
+    points = known[ys].to_numpy(float)
+    asked = scaled(filled(units)).select("unit", F.array(*xs).alias("_x"))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        donors = known["donor"].to_numpy()
+        for batch in batches:
+            at, which, far = [], [], []
+            for x in batch["_x"]:
+                x, square = np.array(x, float), 0.0
+                for i in range(len(x)):
+                    square = square + (x[i] - points[:, i]) * (x[i] - points[:, i])
+                d = np.sqrt(square)
+                # All as near as the k-th, to what rounding can tell apart.
+                kept = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + 2e-9) if len(d) > k else np.arange(len(d))
+                at += [x] * len(kept)
+                which.append(donors[kept])
+                far.append(d[kept])
+            if at:
+                yield pd.DataFrame({"_x": at, "donor": np.concatenate(which), "distance": np.concatenate(far)})
+
+    w = Window.partitionBy("_x").orderBy(F.round("distance", 9), "donor")
+    met = asked.select("_x").distinct().mapInPandas(near, f"_x array<double>, donor {dict(right.dtypes)['donor']}, distance double")
+    met = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return asked.join(met, "_x").select("unit", "donor", "distance", "rank")
 
 
 def neighbour_magnitude(neighbours: DataFrame, magnitudes: DataFrame) -> DataFrame:
