@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -113,7 +113,11 @@ def apply_mapping(values: DataFrame, mapping: DataFrame, cell: Sequence[str], re
 
 def anchors(cost: np.ndarray) -> np.ndarray:
     """A distinct column for each row (rows <= columns) with the least sum: shortest augmenting paths."""
-    n, m = cost.shape
+    return _anchors(cost.__getitem__, *cost.shape)
+
+
+def _anchors(cost: Callable[[int], np.ndarray], n: int, m: int) -> np.ndarray:
+    """The same of costs that are computed row by row, so that memory grows with rows and columns only."""
     u, v = np.zeros(n), np.zeros(m)
     owner = np.full(m, -1)
     for row in range(n):
@@ -121,10 +125,14 @@ def anchors(cost: np.ndarray) -> np.ndarray:
         i, at = row, -1
         far = 0.0
         while True:
-            step = far + cost[i] - u[i] - v
+            step = far + cost(i) - u[i] - v
             better = ~done & (step < reach)
             reach[better], back[better] = step[better], at
-            j = int(np.where(done, np.inf, reach).argmin())
+            open_ = np.where(done, np.inf, reach)
+            j = int(open_.argmin())
+            if owner[j] >= 0:  # of columns as near, one that is free ends the search
+                free = np.flatnonzero((open_ == open_[j]) & (owner < 0))
+                j = int(free[0]) if len(free) else j
             far, at = reach[j], j
             done[j] = True
             if owner[j] < 0:
@@ -151,26 +159,32 @@ def _km(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(1.0, h)))
 
 
-def catchments(units: DataFrame, nodes: DataFrame, most: int = 20_000_000) -> DataFrame:
+def catchments(units: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every node goes to one unit of its region, every unit has a node, and the sum of distances is the least.
 
     Both sides: region, k, lat, lon.  A node that is no unit's anchor goes to its nearest, so the distances above the nearest
-    of distinct anchors are what is minimised.  Regions are solved apart; one with more than ``most`` pairs, or with more
-    units than nodes, raises an error.  Regions without units have no rows."""
+    of distinct anchors are what is minimised.  Regions are solved apart, each in one task, which computes distances by unit and
+    never holds those of all pairs; one with more units than nodes raises an error.  Regions without units have no rows."""
 
     def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("k", ignore_index=True), b.sort_values("k", ignore_index=True)
         if len(a) > len(b) and len(b):
             raise ValueError("more units than nodes in a region")
-        if len(a) * len(b) > most:
-            raise ValueError(f"more than {most} pairs in a region")
         if not len(a) or not len(b):
             return pd.DataFrame({"region": [], "node": [], "unit": [], "km": [], "anchor": []})
-        d = _km(a, b)
-        goes, held = d.argmin(0), anchors(d - d.min(0))
+        row = lambda i: _km(a.iloc[i : i + 1], b)[0]
+        least, goes = row(0), np.zeros(len(b), int)
+        for i in range(1, len(a)):
+            d = row(i)
+            nearer = d < least
+            least[nearer], goes[nearer] = d[nearer], i
+        held = _anchors(lambda i: row(i) - least, len(a), len(b))
         goes[held] = np.arange(len(a))
+        km = np.array(least)
+        for i, j in enumerate(held):
+            km[j] = _km(a.iloc[i : i + 1], b.iloc[j : j + 1])[0, 0]
         anchor = np.isin(np.arange(len(b)), held)
-        return pd.DataFrame({"region": b["region"], "node": b["k"], "unit": a["k"].to_numpy()[goes], "km": d[goes, np.arange(len(b))], "anchor": anchor})
+        return pd.DataFrame({"region": b["region"], "node": b["k"], "unit": a["k"].to_numpy()[goes], "km": km, "anchor": anchor})
 
     sides = (x.select("region", "k", "lat", "lon").groupBy("region") for x in (units, nodes))
     left, right = sides
