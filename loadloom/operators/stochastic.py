@@ -9,13 +9,13 @@ from ..functions.scalar import Z90, hash_uniform, normal_cdf, normal_quantile
 
 
 def fit_envelope(profiles: DataFrame) -> DataFrame:
-    """mu and sigma from the 10th and 90th percentiles, with flags; inverted bounds are swapped."""
+    """mu and sigma from the 10th and 90th percentiles, with flags; inverted bounds are swapped, and rounding inverts none."""
     low, high = F.least("min_load", "max_load"), F.greatest("min_load", "max_load")
     known = F.col("min_load").isNotNull() & F.col("max_load").isNotNull()
     return profiles.select(
         "unit", "month", "hour",
         F.when(known, (low + high) / 2).alias("mu"), F.when(known, (high - low) / (2 * Z90)).alias("sigma"),
-        (~known).alias("missing"), (known & (F.col("min_load") > F.col("max_load"))).alias("inverted"), (known & (low == high)).alias("zero_width"),
+        (~known).alias("missing"), (known & (F.col("min_load") - F.col("max_load") > 1e-12 * F.greatest(F.abs(low), F.abs(high)))).alias("inverted"), (known & (low == high)).alias("zero_width"),
     )
 
 

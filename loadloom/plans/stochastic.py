@@ -15,7 +15,7 @@ ENV = f"env AS (SELECT unit, month, hour, (min_load + max_load) / 2 AS mu, (max_
 
 @query("envelope_fit", X.sql(f", {ENV} SELECT unit, month, hour, round(mu, 6) AS mu, round(sigma, 6) AS sigma, false AS missing, false AS inverted, zero AS zero_width FROM env"))
 def envelope_fit(s, d):
-    return E.fit_envelope(X.profiles(s, d)).withColumn("mu", F.round("mu", 6)).withColumn("sigma", F.round("sigma", 6))
+    return E.fit_envelope(X.sql_profiles(s, d)).withColumn("mu", F.round("mu", 6)).withColumn("sigma", F.round("sigma", 6))
 
 
 @query("envelope_coarsen", X.sql(f", {ENV} SELECT unit, month, round(avg(mu), 6) AS mu, round(sqrt(avg(sigma * sigma) + var_pop(mu)), 6) AS sigma FROM env GROUP BY ALL"))
