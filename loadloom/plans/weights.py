@@ -108,4 +108,4 @@ def level_grouping_sets(s, d):
 
 @query("peak_hour", X.sql(f", {AVG} SELECT unit, month, hour FROM loads QUALIFY row_number() OVER (PARTITION BY unit, month ORDER BY avg_load DESC, hour) = 1"))
 def peak_hour(s, d):
-    return R.first_by(_loads(s, d), ["unit", "month"], F.desc("avg_load"), F.asc("hour")).select("unit", "month", "hour")
+    return R.first_by(W.average_load(X.sql_profiles(s, d)), ["unit", "month"], F.desc("avg_load"), F.asc("hour")).select("unit", "month", "hour")
