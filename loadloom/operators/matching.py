@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -153,6 +154,10 @@ def _anchors(cost: Callable[[int], np.ndarray], n: int, m: int) -> np.ndarray:
     return out
 
 
+#: Distances that a task keeps.
+HELD = 10_000_000
+
+
 def _km(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     la, lo, lb, ob = (np.radians(x.to_numpy(float)) for x in (a["lat"], a["lon"], b["lat"], b["lon"]))
     h = np.sin((lb[None] - la[:, None]) / 2) ** 2 + np.cos(la)[:, None] * np.cos(lb)[None] * np.sin((ob[None] - lo[:, None]) / 2) ** 2
@@ -172,17 +177,20 @@ def catchments(units: DataFrame, nodes: DataFrame) -> DataFrame:
             raise ValueError("more units than nodes in a region")
         if not len(a) or not len(b):
             return pd.DataFrame({"region": [], "node": [], "unit": [], "km": [], "anchor": []})
-        row = lambda i: _km(a.iloc[i : i + 1], b)[0]
-        least, goes = row(0), np.zeros(len(b), int)
-        for i in range(1, len(a)):
-            d = row(i)
+        # Distances to each position of nodes once, and of units that stand at one position once.
+        spots = b[["lat", "lon"]].drop_duplicates(ignore_index=True)
+        at = b[["lat", "lon"]].merge(spots.reset_index(), "left", on=["lat", "lon"])["index"].to_numpy()
+        least, nearest = np.full(len(spots), np.inf), np.zeros(len(spots), int)
+        row = functools.lru_cache(HELD // len(spots))(lambda lat, lon: _km(pd.DataFrame({"lat": [lat], "lon": [lon]}), spots)[0])
+        places = list(zip(a["lat"].to_numpy(), a["lon"].to_numpy(), strict=True))
+        for i, place in enumerate(places):
+            d = row(*place)
             nearer = d < least
-            least[nearer], goes[nearer] = d[nearer], i
-        held = _anchors(lambda i: row(i) - least, len(a), len(b))
+            least[nearer], nearest[nearer] = d[nearer], i
+        goes, km = nearest[at], least[at]
+        held = _anchors(lambda i: (row(*places[i]) - least)[at], len(a), len(b))
         goes[held] = np.arange(len(a))
-        km = np.array(least)
-        for i, j in enumerate(held):
-            km[j] = _km(a.iloc[i : i + 1], b.iloc[j : j + 1])[0, 0]
+        km[held] = [row(*place)[at[j]] for place, j in zip(places, held, strict=True)]
         anchor = np.isin(np.arange(len(b)), held)
         return pd.DataFrame({"region": b["region"], "node": b["k"], "unit": a["k"].to_numpy()[goes], "km": km, "anchor": anchor})
 
