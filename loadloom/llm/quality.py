@@ -18,13 +18,14 @@ occur repeatedly among the labels are trusted if all their labels are; no truste
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialise, table
@@ -89,27 +90,31 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         tables[k] = materialise(tables[k + 1].groupBy("lang", _suffix(k).alias("g")).agg(F.count("*").alias("n")), "counts")
-    lower, out = None, None
+    # The discounts of all orders at once: few rows, for each language and order.
+    n = [F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    # Where a count of counts is nought, the usual values for large samples.
+    found = [F.when((n[i] > 0) & (n[0] > 0), F.greatest(F.lit(0.05), F.least(F.lit(i + 0.95), (i + 1) - (i + 2) * y * n[i + 1] / F.nullif(n[i], F.lit(0))))) for i in range(3)]
+    every = functools.reduce(DataFrame.unionByName, [t.select("lang", F.lit(k).alias("k"), "n") for k, t in tables.items()])
+    discounts = every.groupBy("lang", "k").agg(*[F.coalesce(d, F.lit(0.5 * (i + 1))).alias(f"d{i + 1}") for i, d in enumerate(found)])
+    discounts = materialise(discounts, "discounts")
+    # A context has at most 256 n-grams, so a window over it is small; its weight is told with the first of them.
+    of_context = Window.partitionBy("lang", "c")
+    lower, out = None, []
     for k in range(1, ORDER + 1):
-        n = [F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        # Where a count of counts is nought, the usual values for large samples.
-        found = [F.when((n[i] > 0) & (n[0] > 0), F.greatest(F.lit(0.05), F.least(F.lit(i + 0.95), (i + 1) - (i + 2) * y * n[i + 1] / F.nullif(n[i], F.lit(0))))) for i in range(3)]
-        discounts = tables[k].groupBy("lang").agg(*[F.coalesce(d, F.lit(0.5 * (i + 1))).alias(f"d{i + 1}") for i, d in enumerate(found)])
-        c = tables[k].join(F.broadcast(discounts), "lang")
+        c = tables[k].join(F.broadcast(discounts.where(F.col("k") == k).drop("k")), "lang")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         c = c.select("lang", "g", "n", d.alias("d"), _context().alias("c"))
-        contexts = c.groupBy("lang", "c").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("w"))
-        p = c.join(contexts, ["lang", "c"])
+        total = F.sum("n").over(of_context)
+        p = c.select("*", total.alias("total"), (F.sum("d").over(of_context) / total).alias("w"), (F.min("g").over(of_context) == F.col("g")).alias("first"))
         if lower is None:
             p = p.withColumn("low", F.lit(1 / 256))
         else:
             p = p.withColumn("s", _suffix(k - 1)).join(lower.select("lang", F.col("g").alias("s"), F.col("p").alias("low")), ["lang", "s"])
-        lower = materialise(p.select("lang", "g", ((F.col("n") - F.col("d")) / F.col("total") + F.col("w") * F.col("low")).alias("p")), "order")
-        rows = lower.select("lang", F.lit(k).alias("k"), F.lit("p").alias("kind"), "g", F.ln("p").alias("v"))
-        rows = rows.unionByName(contexts.select("lang", F.lit(k).alias("k"), F.lit("w").alias("kind"), F.col("c").alias("g"), F.ln("w").alias("v")))
-        out = rows if out is None else out.unionByName(rows)
-    return materialise(out, "model")
+        lower = materialise(p.select("lang", "g", "c", "w", "first", ((F.col("n") - F.col("d")) / F.col("total") + F.col("w") * F.col("low")).alias("p")), "order")
+        out.append(lower.select("lang", F.lit(k).alias("k"), F.lit("p").alias("kind"), "g", F.ln("p").alias("v")))
+        out.append(lower.where("first").select("lang", F.lit(k).alias("k"), F.lit("w").alias("kind"), F.col("c").alias("g"), F.ln("w").alias("v")))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def surprise(model: dict, g: np.ndarray) -> np.ndarray:
