@@ -51,6 +51,8 @@ GROUP_TOKENS, GROUP_CLASSES, SIZES = 131_072, 512, 0.15
 BROADCAST_BYTES, ROW_BYTES, TOLD = 64 << 20, 64, 500_000
 CACHED = 150_000
 ROUND_BYTES = 256 << 20
+#: Shuffled for a token of a document; rounds read the lists again, so there are only a few.
+TOKEN_BYTES, TOKEN_ROUNDS = 28, 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOW = int(CUTOFF * 2**64) - 2**63
 
@@ -329,10 +331,19 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The lists of each class once: those of its first row.
     firsts = classes.select(F.col("_key").alias("_row"))
     lists = sketches.join(_checked(firsts), "_row", "left_semi").select(F.col("_row").alias("_key"), "_tokens")
+    tokens: list[DataFrame] = []
     listed = lists.select("_key", F.posexplode("_tokens").alias("_rank", "_token"))
-    counts = listed.groupBy("_token").agg(F.count("*").alias("_df")).where(F.col("_df") > 1)
-    shared = listed.join(counts, "_token")
-    shared = materialise(shared.select("_token", "_key", "_rank", "_df"), "tokens")
+    # All tokens are sent twice, which takes more of the disk than anything else: they are dealt into rounds, each of which has its shuffle
+    # files deleted before the next.
+    sent = (sketches.agg(F.sum(F.size("_tokens"))).first()[0] or 0) * TOKEN_BYTES
+    rounds, shared = max(1, min(TOKEN_ROUNDS, -(-sent // ROUND_BYTES))), None
+    for turn in range(rounds):
+        some = listed.where(F.pmod("_token", F.lit(rounds)) == turn)
+        counts = some.groupBy("_token").agg(F.count("*").alias("_df")).where(F.col("_df") > 1)
+        met = materialise(some.join(counts, "_token").select("_token", "_key", "_rank", "_df"), "tokens")
+        shared = met if shared is None else shared.unionByName(met)
+        tokens.append(met)
+        let_go(met)
     named = materialise(sketches.select("_id", "_digest", "_n", *extra), "named")
     discard(sketches)
 
@@ -343,7 +354,7 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.withColumn("_earlier", F.coalesce(F.sum("_off").over(before), F.lit(0))).withColumn("_all", F.sum("_off").over(of_class))
     place = F.when(F.col("_token") >= LOW, F.col("_rank")).when(F.col("_off") == 1, F.col("_low") - F.col("_all") + F.col("_earlier")).otherwise(F.col("_rank") - F.col("_earlier"))
     prefix = materialise(placed.where(place < F.expr(f"_n - ({t} * _n + 99) div 100 + 1")).select("_token", "_key", "_n", "_df"), "prefix")
-    discard(shared)
+    discard(*tokens)
     rest = F.expr(f"({t} * _n + 99) div 100 - 1")
 
     # First components: rounds of checks of each class against a hub, the first by a hash of the round's own of those that
