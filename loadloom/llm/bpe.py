@@ -1,12 +1,13 @@
 r"""BPE encoding and decoding, exact merges in linear time, without running the merges.
 
-An Aho-Corasick automaton over the vocabulary finds every token in a word.  The encoder goes from left to right,
-takes the longest token at each position that is compatible with the one before it, and steps back where none is;
-a position that once had no way on is never visited again.  Two tokens are compatible if merging their joined text
+An Aho-Corasick automaton over the vocabulary finds the longest token at each position of a word, a table the shorter ones
+that it begins with.  The encoder goes from left to right, takes the longest token at each position that is compatible with
+the one before it, and steps back where none is; a position that once had no way on is never visited again.  Two tokens are compatible if merging their joined text
 leaves just them; the table of pairs is filled as pairs are met.  Decoding cuts the tokens' texts out of one string
 by a table of offsets.
 
-Words are encoded once for each worker while they stay in a cache that is emptied when full; long words aren't kept.
+Words are encoded once for each worker while they stay in a cache of two halves, the older of which goes when the other is full;
+long words aren't kept.
 Texts are never cut.  Nothing is shuffled: one pass, in batches of bounded size, so a lost executor costs its tasks.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; special tokens in a text have their own
@@ -51,20 +52,30 @@ def byte_letters() -> list[str]:
 
 
 class _Cache(dict):
-    """Words to the bytes of their ids."""
+    """Words to the bytes of their ids: those met lately and, in ``old``, those met before them; each holds half of ``CACHED_WORDS``.
+
+    A word that is met again moves up, so frequent words stay while those met once go."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.make(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
         if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
+            if len(self) >= CACHED_WORDS // 2:
+                self.old = self.copy()
+                super().clear()
             self[word] = ids
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
 
 class Codec:
     def __init__(self, vocabulary: str):
@@ -95,7 +106,9 @@ class Codec:
         for t, i in number.items():
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        # The longest token that a token begins with: with the longest one at a position, these are all that start there.
+        self.shorter = [next((number[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in number), -1) for t in self.token]
+        self.fits: dict[int, bool] = {}
         self.words = _Cache(self._word)
         self.find = regex.compile(PIECES).findall
         self.odd = re.compile(OTHERS).search
@@ -114,7 +127,7 @@ class Codec:
 
         Their merges are undone from the last to the first; at no time may the two parts at the border have been a
         merge that was due before the one undone.  Equal merges go from left to right, so the left one was first."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 20 | b)
         if known is not None:
             return known
         x, y, due, good = a, b, float("inf"), True
@@ -131,40 +144,38 @@ class Codec:
                 due, y = self.rank[y] + 0.5, self.parts[y][0]
         if len(self.fits) >= CACHED_PAIRS:
             self.fits.clear()
-        self.fits[a, b] = good
+        self.fits[a << 20 | b] = good
         return good
 
     def encode_letters(self, word: str) -> list[int]:
         """Inner tokens of a word in byte letters with its end."""
-        starts: list[list[int]] = [[] for _ in word]
-        for last, token in self.automaton.iter(word):
-            starts[last + 1 - self.length[token]].append(token)
+        longest, compatible, known, length, shorter = self.automaton.iter_long, self.compatible, self.fits.get, self.length, self.shorter
         out: list[int] = []
-        tried: list[int] = []
+        at, token, before = 0, -1, -1
+        # Every letter is a token, so these follow each other without a gap; where all are compatible, nothing is stepped back.
+        for _, token in longest(word):
+            if before >= 0 and not (known(before << 20 | token) or compatible(before, token)):
+                break
+            out.append(token)
+            at += length[token]
+            before = token
         closed = bytearray(len(word) + 1)
-        at, k = 0, len(starts[0]) - 1
         while at < len(word):
-            options = starts[at]
-            while k >= 0:
-                token = options[k]
-                if not closed[at + self.length[token]] and (not out or self.compatible(out[-1], token)):
-                    break
-                k -= 1
-            if k >= 0:
+            while token >= 0 and (closed[at + length[token]] or (out and not compatible(out[-1], token))):
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                tried.append(k)
-                at += self.length[token]
-                k = len(starts[at]) - 1 if at < len(word) else 0
+                at += length[token]
+                token = next(longest(word, at))[1] if at < len(word) else -1
             else:
                 closed[at] = 1
-                at -= self.length[out.pop()]
-                k = tried.pop() - 1
+                token = out.pop()
+                at -= length[token]
+                token = shorter[token]
         return out
 
     def _word(self, word: str) -> bytes:
-        letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        if word.isascii() and not word.isprintable():
-            letters = "".join(map(self.letters.__getitem__, word.encode()))
+        letters = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
         return b"".join(map(self.packed.__getitem__, self.encode_letters(letters + END)))
 
     def segment(self, text: str) -> bytes:
