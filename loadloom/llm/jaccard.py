@@ -164,14 +164,15 @@ def _needed(a: Column, b: Column, t: int) -> Column:
     return F.ceil(t * (a + b) / (100.0 + t))
 
 
-def _class_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int, used: list[DataFrame]) -> DataFrame:
-    """``_key`` and ``_set``, made again from the text of the class's first document; what is written for it is added to ``used``."""
-    met = materialise(classes.join(keys.select("_key").distinct(), "_key", "left_semi").select("_key", "_digest", "_first"), "ids")
+def _class_sets(keys: DataFrame, n: int, classes: DataFrame, docs: DataFrame, width: int, used: list[DataFrame]) -> DataFrame:
+    """``_key`` and ``_set`` of the ``n`` rows of ``keys``, made again from the text of the class's first document; what is written for it is added to ``used``."""
+    met = materialise(classes.join(_checked(keys.select("_key"), n), "_key", "left_semi").select("_key", "_digest", "_first"), "ids")
     used.append(met)
-    ids = met.select(F.col("_first").alias("_id")).distinct()
-    chosen = docs.join(_checked(ids), docs["_id"].eqNullSafe(ids["_id"]), "left_semi")
+    several = met.count()
+    ids = met.select(F.col("_first").alias("_id"))
+    chosen = docs.join(_checked(ids, several), docs["_id"].eqNullSafe(ids["_id"]), "left_semi")
     sets = _sets(chosen, width).where(F.col("_digest").isNotNull())
-    return sets.groupBy("_digest").agg(F.first("_set").alias("_set")).join(_checked(met.select("_key", "_digest")), "_digest").select("_key", "_set")
+    return sets.groupBy("_digest").agg(F.first("_set").alias("_set")).join(_checked(met.select("_key", "_digest"), several), "_digest").select("_key", "_set")
 
 
 PACK = "_g struct<_anchor: long, _slice: long>, _keys binary, _roots binary, _sizes binary, _tokens binary, _rows binary"
@@ -290,8 +291,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: int, wid
     """Of ``a``, ``b`` those whose sets are similar: ``u``, ``v``, written.  Sets are made again from the texts of the classes met; as
     they are large, their shuffle files go before anything else is done."""
     pairs = materialise(pairs.select("a", "b"), "pairs")
+    if not (n := pairs.count()):
+        return pairs.toDF("u", "v")
     used = [pairs]
-    sets = _class_sets(pairs.select(F.col("a").alias("_key")).union(pairs.select("b")), classes, docs, width, used)
+    sets = _class_sets(pairs.select(F.col("a").alias("_key")).union(pairs.select("b")), 2 * n, classes, docs, width, used)
     left = sets.select(F.col("_key").alias("a"), F.col("_set").alias("_left"))
     right = sets.select(F.col("_key").alias("b"), F.col("_set").alias("_right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
@@ -312,7 +315,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: int, wid
 
 
 def _rooted(prefix: DataFrame, roots: DataFrame) -> DataFrame:
-    return prefix.join(roots, prefix["_key"] == roots["u"], "left").select("_token", "_key", "_n", "_df", F.coalesce("root", "_key").alias("_root"))
+    return prefix.join(_checked(roots), prefix["_key"] == roots["u"], "left").select("_token", "_key", "_n", "_df", F.coalesce("root", "_key").alias("_root"))
 
 
 def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 75, width: int = 5, extra: Sequence[str] = (), root_col: str | None = None) -> DataFrame:
@@ -330,12 +333,14 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # The lists of each class once: those of its first row.
     firsts = classes.select(F.col("_key").alias("_row"))
-    lists = sketches.join(_checked(firsts), "_row", "left_semi").select(F.col("_row").alias("_key"), "_tokens")
+    lists = materialise(sketches.join(_checked(firsts), "_row", "left_semi").select(F.col("_row").alias("_key"), "_tokens"), "lists")
+    named = materialise(sketches.select("_id", "_digest", "_n", *extra), "named")
+    discard(sketches)
     tokens: list[DataFrame] = []
     listed = lists.select("_key", F.posexplode("_tokens").alias("_rank", "_token"))
     # All tokens are sent twice, which takes more of the disk than anything else: they are dealt into rounds, each of which has its shuffle
     # files deleted before the next.
-    sent = (sketches.agg(F.sum(F.size("_tokens"))).first()[0] or 0) * TOKEN_BYTES
+    sent = (lists.agg(F.sum(F.size("_tokens"))).first()[0] or 0) * TOKEN_BYTES
     rounds, shared = max(1, min(TOKEN_ROUNDS, -(-sent // ROUND_BYTES))), None
     for turn in range(rounds):
         some = listed.where(F.pmod("_token", F.lit(rounds)) == turn)
@@ -344,8 +349,7 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = met if shared is None else shared.unionByName(met)
         tokens.append(met)
         let_go(met)
-    named = materialise(sketches.select("_id", "_digest", "_n", *extra), "named")
-    discard(sketches)
+    discard(lists)
 
     of_class = Window.partitionBy("_key")
     before = of_class.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -445,7 +449,9 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = paired(pairs, tokens, _may_link(t), "_g struct<_anchor: long, _slice: long>, _h struct<_anchor: long, _slice: long>, _keys array<long>", "opened")
     able = pairs.select(F.explode("_keys").alias("_key")).distinct()
     inside = anchored.withColumn("_g", F.struct("_anchor", "_slice")).join(able, "_key", "left_semi").select("_g", "_key", "_root", "_n")
-    sets = _class_sets(inside.select("_key"), classes, docs, width, free)
+    inside = materialise(inside, "inside")
+    free.append(inside)
+    sets = _class_sets(inside, inside.count(), classes, docs, width, free)
     links = links.unionByName(paired(pairs.select("_g", "_h"), inside.join(sets, "_key"), _open(t), "u long, v long", "links"))
     discard(anchored)
 
