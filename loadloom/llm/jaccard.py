@@ -8,19 +8,21 @@ only evidence.  Then
 
 1.  in rounds, each class is checked against a hub, of a few classes chosen by hash the one with which it shares most
     prefix tokens; verified links give first components;
-2.  classes are partitioned into groups of similar ones: those with boilerplate in their prefix by its most frequent token, in
-    slices of bounded size; all, for rarer tokens, in slices of at most about ``GROUP`` members of a component.  The
-    token-group matrix holds the union of the prefix tokens of a group;
-3.  a class queries the groups of larger components that share a rarer token with it: the overlap with a group's union bounds
-    that with any member, and only groups whose bound reaches the overlap that the threshold needs are opened.  Groups of
-    boilerplate that share a token are opened in pairs, their members' whole sets multiplied as matrices;
-4.  the links complete the components.
+2.  classes with boilerplate in their prefix get a second one, by an order of their own in which all tokens frequent among
+    them come last: whatever links only by boilerplate is a pair of these;
+3.  by either order, classes are partitioned into slices of at most about ``GROUP`` members of a component.  The
+    token-group matrix holds the union of the prefix tokens of a group; a class queries the groups of larger components that share
+    a rarer token with it: the overlap with a group's union bounds that with any member, and only groups whose bound reaches
+    the overlap that the threshold needs are opened;
+4.  classes of little but boilerplate, which still have it in their second prefix, are grouped by its most frequent token, in slices of
+    bounded size.  Groups that share a token are opened in pairs, their members' whole sets multiplied as matrices;
+5.  the links complete the components.
 
 Classes already in one component need no further check, so a group of n near copies costs n checks and not n^2, and no
 link between different components is lost.
 
-Scale: rows between tasks are tokens of prefixes (about a third of all shingles), counts of them, and sets of
-classes with a checked pair.  Counts are pre-aggregated; tokens of a third of all documents are met in sort-merge
+Scale: rows between tasks are tokens of prefixes (about a third of all shingles; all of classes with boilerplate in their
+prefix), counts of them, and sets of classes with a checked pair.  Counts are pre-aggregated; tokens of a third of all documents are met in sort-merge
 joins, which Spark splits.  Broadcast: rows of classes, if at most ``BROADCAST_BYTES`` as hashed; beyond that they are joined.
 
 Edge cases: null and empty texts, or texts of white space, have an empty set and are linked with nothing; a text of fewer
@@ -314,28 +316,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: int, wid
     return links
 
 
-def _rooted(prefix: DataFrame, roots: DataFrame) -> DataFrame:
-    return prefix.join(_checked(roots), prefix["_key"] == roots["u"], "left").select("_token", "_key", "_n", "_df", F.coalesce("root", "_key").alias("_root"))
-
-
-def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 75, width: int = 5, extra: Sequence[str] = (), root_col: str | None = None) -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id``, one row for each of ``df``; t in hundredths.
-
-    Its columns ``extra`` are carried along.  ``root_col`` names a column for the component's key, which tells components
-    apart where ids are null or repeat; it is null for texts without shingles."""
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), *extra)
-    sketches = materialise(_sketched(docs, t, width).withColumn("_row", F.monotonically_increasing_id()), "sketches")
-    docs = docs.select("_id", "_text")
-    # A class goes by the number of its first row: that of the smallest id.
-    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row"))
-    classes = sketches.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(first.alias("_f"), F.first("_n").alias("_n"), F.first("_low").alias("_low"))
-    classes = materialise(classes.select("_digest", F.col("_f._row").alias("_key"), F.col("_f._id").alias("_first"), "_n", "_low"), "classes")
+def _prefixes(lists: DataFrame, sized: DataFrame, t: int, low: Column) -> DataFrame:
+    """``_token``, ``_key``, ``_n`` and ``_df``: the tokens of each prefix that another class lists too, with the classes that list them, written.
 
-    # The lists of each class once: those of its first row.
-    firsts = classes.select(F.col("_key").alias("_row"))
-    lists = materialise(sketches.join(_checked(firsts), "_row", "left_semi").select(F.col("_row").alias("_key"), "_tokens"), "lists")
-    named = materialise(sketches.select("_id", "_digest", "_n", *extra), "named")
-    discard(sketches)
+    ``lists``, which are deleted: _key, _tokens; ``sized``: _key, _n, _low (how many tokens are ``low``: of those, the frequent ones come last)."""
     tokens: list[DataFrame] = []
     listed = lists.select("_key", F.posexplode("_tokens").alias("_rank", "_token"))
     # All tokens are sent twice, which takes more of the disk than anything else: they are dealt into rounds, each of which has its shuffle
@@ -353,44 +337,69 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     of_class = Window.partitionBy("_key")
     before = of_class.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    often = ((F.col("_df") > FREQUENT) & (F.col("_token") < LOW)).cast("int")
-    placed = shared.join(classes.select("_key", "_n", "_low"), "_key").withColumn("_off", often)
+    often = ((F.col("_df") > FREQUENT) & low).cast("int")
+    placed = shared.join(sized, "_key").withColumn("_off", often)
     placed = placed.withColumn("_earlier", F.coalesce(F.sum("_off").over(before), F.lit(0))).withColumn("_all", F.sum("_off").over(of_class))
-    place = F.when(F.col("_token") >= LOW, F.col("_rank")).when(F.col("_off") == 1, F.col("_low") - F.col("_all") + F.col("_earlier")).otherwise(F.col("_rank") - F.col("_earlier"))
+    place = F.when(~low, F.col("_rank")).when(F.col("_off") == 1, F.col("_low") - F.col("_all") + F.col("_earlier")).otherwise(F.col("_rank") - F.col("_earlier"))
     prefix = materialise(placed.where(place < F.expr(f"_n - ({t} * _n + 99) div 100 + 1")).select("_token", "_key", "_n", "_df"), "prefix")
     discard(*tokens)
-    rest = F.expr(f"({t} * _n + 99) div 100 - 1")
+    return prefix
 
-    # First components: rounds of checks of each class against a hub, the first by a hash of the round's own of those that
-    # share a token with it; after the first round only over tokens of boilerplate.  They only save work below; what they
-    # leave out is found there.
-    links, roots, found, live = None, None, 0, prefix.withColumn("_root", F.col("_key"))
-    for turn in range(ROUNDS):
-        if turn:
-            live = _rooted((live if turn > 1 else live.where(F.col("_df") > FREQUENT)).drop("_root"), roots)
-        order = F.struct(F.xxhash64("_key", F.lit(turn)).alias("h"), F.col("_key").alias("hub"), F.col("_root").alias("root"))
-        hubs = live.groupBy("_token").agg(F.min(order).alias("_hub"), F.min("_root").alias("_r0"), F.max("_root").alias("_r1")).where(F.col("_r0") != F.col("_r1"))
-        spokes = live.join(hubs.select("_token", "_hub"), "_token").where(F.col("_hub.root") != F.col("_root"))
-        spokes = spokes.groupBy("_key", "_n", F.col("_hub.hub").alias("_to")).agg(F.count("*").alias("_c")).where(F.col("_c") * 2 >= F.expr(f"_n - ({t} * _n + 99) div 100 + 1"))
-        best = spokes.groupBy("_key").agg(F.max(F.struct("_c", "_to")).alias("_b")).select(F.col("_b._to").alias("a"), F.col("_key").alias("b"))
-        more = _verified(best, classes, docs, t, width)
-        links = more if links is None else links.unionByName(more)
-        roots = components(links)
-        new, found = more.count(), found + more.count()
-        if turn and new * ENOUGH <= found:
-            break
 
-    # What is left: tokens of several components.
+def _left(prefix: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of prefixes, which are deleted, the tokens of several components, with the root; and the number of frequent tokens of each class.  Both written."""
     rooted = _rooted(prefix, roots)
     several = rooted.groupBy("_token").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1")).where(F.col("_r0") != F.col("_r1"))
     often = prefix.groupBy("_key").agg(F.sum((F.col("_df") > FREQUENT).cast("int")).alias("_usual"))
     rooted = materialise(rooted.join(several, "_token", "left_semi"), "rooted")
     often = materialise(often, "usual")
     discard(prefix)
+    return rooted, often
+
+
+def _asked(rooted: DataFrame, often: DataFrame, roots: DataFrame, t: int, used: list[DataFrame]) -> DataFrame:
+    """``a``, ``b``: classes that share a rarer token with a group of another component, and its members; what is written for it is added to ``used``."""
+    sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("_size"))
+    rare = rooted.where(F.col("_df") <= FREQUENT).join(sizes, F.col("_root") == F.col("root"), "left").drop("root")
+    rare = rare.withColumn("_size", F.coalesce("_size", F.lit(1))).withColumn("_slice", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_size") / GROUP)))
+    cells = materialise(rare.select("_token", "_key", "_n", "_root", "_slice", F.struct("_size", "_root").alias("_order")), "cells")
+    used.append(cells)
+    several = cells.groupBy("_token").agg(F.min("_order").alias("_least"), F.max("_order").alias("_most")).where(F.col("_least") != F.col("_most"))
+    asking = cells.join(several, "_token").where(F.col("_order") != F.col("_most")).select("_token", "_key", "_n", "_order")
+    matrix = cells.join(several, "_token", "left_semi").groupBy("_token", "_root", "_slice").agg(F.first("_order").alias("_of"))
+    met = asking.join(matrix, "_token").where(F.col("_of") > F.col("_order")).groupBy("_key", "_n", "_root", "_slice").agg(F.count("*").alias("_c"))
+    groups = cells.groupBy("_root", "_slice").agg(F.min("_n").alias("_n0"), F.max("_n").alias("_n1"))
+    met = met.join(groups, ["_root", "_slice"]).join(often, "_key").withColumn("_rest", F.expr(f"({t} * _n + 99) div 100 - 1"))
+    top = F.greatest("_rest", F.expr(f"({t} * _n1 + 99) div 100 - 1"))
+    opened = met.where((100 * F.col("_n1") >= t * F.col("_n")) & (t * F.col("_n0") <= 100 * F.col("_n")))
+    opened = opened.where(F.col("_c") + F.col("_usual") + top >= _needed(F.col("_n"), F.greatest("_n0", F.ceil(t * F.col("_n") / 100.0)), t))
+    members = cells.select("_root", "_slice", F.col("_key").alias("_member"), F.col("_n").alias("_m")).distinct()
+    return opened.join(members, ["_root", "_slice"]).where(_fits(F.col("_n"), F.col("_m"), t)).select(F.col("_key").alias("a"), F.col("_member").alias("b"))
+
+
+def _as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole sets as lists of tokens."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], names=["_key", "_tokens"])
+
+
+def _rooted(prefix: DataFrame, roots: DataFrame) -> DataFrame:
+    return prefix.join(_checked(roots), prefix["_key"] == roots["u"], "left").select("_token", "_key", "_n", "_df", F.coalesce("root", "_key").alias("_root"))
+
+
+def _boilerplate(prefix: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, t: int, width: int) -> DataFrame:
+    """``u``, ``v``: links without a rarer token in common, written; ``prefix``: the frequent tokens of prefixes.
 
-    # Boilerplate: links without a rarer token in common.  Classes are grouped by the most frequent token of their prefix and by
-    # size; pairs of groups are opened as wholes, for the members whose overlap with the other group allows a link.
-    usual = rooted.where(F.col("_df") > FREQUENT)
+    Classes are grouped by the most frequent token of their prefix and by size; pairs of groups are opened as wholes, for the members
+    whose overlap with the other group allows a link."""
+    usual = _rooted(prefix, roots)
+    several = usual.groupBy("_token").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1")).where(F.col("_r0") != F.col("_r1"))
+    usual = materialise(usual.join(several, "_token", "left_semi"), "boilerplate")
+    if usual.isEmpty():
+        discard(usual)
+        return roots.select("u", F.col("root").alias("v")).limit(0)
     anchored = usual.groupBy("_key").agg(F.first("_n").alias("_n"), F.first("_root").alias("_root"), F.max(F.struct("_df", "_token"))["_token"].alias("_token"))
     anchored = anchored.withColumn("_sized", F.floor(F.ln("_n") / SIZES))
     amounts = anchored.groupBy("_sized").agg(F.greatest(F.ceil(F.sum("_n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_CLASSES)).alias("_parts"))
@@ -452,28 +461,74 @@ def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = materialise(inside, "inside")
     free.append(inside)
     sets = _class_sets(inside, inside.count(), classes, docs, width, free)
-    links = links.unionByName(paired(pairs.select("_g", "_h"), inside.join(sets, "_key"), _open(t), "u long, v long", "links"))
-    discard(anchored)
+    links = paired(pairs.select("_g", "_h"), inside.join(sets, "_key"), _open(t), "u long, v long", "links")
+    discard(usual, anchored)
+    return links
 
-    # The rest: classes that share a rarer token with a group of another component.
-    sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("_size"))
-    rare = rooted.where(F.col("_df") <= FREQUENT).join(sizes, F.col("_root") == F.col("root"), "left").drop("root")
-    rare = rare.withColumn("_size", F.coalesce("_size", F.lit(1))).withColumn("_slice", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_size") / GROUP)))
-    cells = materialise(rare.select("_token", "_key", "_n", "_root", "_slice", F.struct("_size", "_root").alias("_order")), "cells")
-    discard(rooted)
-    several = cells.groupBy("_token").agg(F.min("_order").alias("_least"), F.max("_order").alias("_most")).where(F.col("_least") != F.col("_most"))
-    asking = cells.join(several, "_token").where(F.col("_order") != F.col("_most")).select("_token", "_key", "_n", "_order")
-    matrix = cells.join(several, "_token", "left_semi").groupBy("_token", "_root", "_slice").agg(F.first("_order").alias("_of"))
-    met = asking.join(matrix, "_token").where(F.col("_of") > F.col("_order")).groupBy("_key", "_n", "_root", "_slice").agg(F.count("*").alias("_c"))
-    groups = cells.groupBy("_root", "_slice").agg(F.min("_n").alias("_n0"), F.max("_n").alias("_n1"))
-    met = met.join(groups, ["_root", "_slice"]).join(often, "_key").withColumn("_rest", F.expr(f"({t} * _n + 99) div 100 - 1"))
-    top = F.greatest("_rest", F.expr(f"({t} * _n1 + 99) div 100 - 1"))
-    opened = met.where((100 * F.col("_n1") >= t * F.col("_n")) & (t * F.col("_n0") <= 100 * F.col("_n")))
-    opened = opened.where(F.col("_c") + F.col("_usual") + top >= _needed(F.col("_n"), F.greatest("_n0", F.ceil(t * F.col("_n") / 100.0)), t))
-    members = cells.select("_root", "_slice", F.col("_key").alias("_member"), F.col("_n").alias("_m")).distinct()
-    asked = opened.join(members, ["_root", "_slice"]).where(_fits(F.col("_n"), F.col("_m"), t)).select(F.col("_key").alias("a"), F.col("_member").alias("b"))
+
+def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 75, width: int = 5, extra: Sequence[str] = (), root_col: str | None = None) -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id``, one row for each of ``df``; t in hundredths.
+
+    Its columns ``extra`` are carried along.  ``root_col`` names a column for the component's key, which tells components
+    apart where ids are null or repeat; it is null for texts without shingles."""
+    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), *extra)
+    sketches = materialise(_sketched(docs, t, width).withColumn("_row", F.monotonically_increasing_id()), "sketches")
+    docs = docs.select("_id", "_text")
+    # A class goes by the number of its first row: that of the smallest id.
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row"))
+    classes = sketches.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(first.alias("_f"), F.first("_n").alias("_n"), F.first("_low").alias("_low"))
+    classes = materialise(classes.select("_digest", F.col("_f._row").alias("_key"), F.col("_f._id").alias("_first"), "_n", "_low"), "classes")
+
+    # The lists of each class once: those of its first row.
+    firsts = classes.select(F.col("_key").alias("_row"))
+    lists = materialise(sketches.join(_checked(firsts), "_row", "left_semi").select(F.col("_row").alias("_key"), "_tokens"), "lists")
+    named = materialise(sketches.select("_id", "_digest", "_n", *extra), "named")
+    discard(sketches)
+    prefix = _prefixes(lists, classes.select("_key", "_n", "_low"), t, F.col("_token") < LOW)
+
+    # First components: rounds of checks of each class against a hub, the first by a hash of the round's own of those that
+    # share a token with it; after the first round only over tokens of boilerplate.  They only save work below; what they
+    # leave out is found there.
+    links, roots, found, live = None, None, 0, prefix.withColumn("_root", F.col("_key"))
+    for turn in range(ROUNDS):
+        if turn:
+            live = _rooted((live if turn > 1 else live.where(F.col("_df") > FREQUENT)).drop("_root"), roots)
+        order = F.struct(F.xxhash64("_key", F.lit(turn)).alias("h"), F.col("_key").alias("hub"), F.col("_root").alias("root"))
+        hubs = live.groupBy("_token").agg(F.min(order).alias("_hub"), F.min("_root").alias("_r0"), F.max("_root").alias("_r1")).where(F.col("_r0") != F.col("_r1"))
+        spokes = live.join(hubs.select("_token", "_hub"), "_token").where(F.col("_hub.root") != F.col("_root"))
+        spokes = spokes.groupBy("_key", "_n", F.col("_hub.hub").alias("_to")).agg(F.count("*").alias("_c")).where(F.col("_c") * 2 >= F.expr(f"_n - ({t} * _n + 99) div 100 + 1"))
+        best = spokes.groupBy("_key").agg(F.max(F.struct("_c", "_to")).alias("_b")).select(F.col("_b._to").alias("a"), F.col("_key").alias("b"))
+        more = _verified(best, classes, docs, t, width)
+        links = more if links is None else links.unionByName(more)
+        roots = components(links)
+        new, found = more.count(), found + more.count()
+        if turn and new * ENOUGH <= found:
+            break
+
+    # What is left: tokens of several components.  A link without a rarer token in common is one of two classes with boilerplate in their
+    # prefix.  They are compared by an order of their own, in which all their tokens that are frequent among them come last, so that only
+    # classes of little but boilerplate keep it in their prefix.
+    rooted, often = _left(prefix, roots)
+    used = [rooted, often]
+    asked = _asked(rooted, often, roots, t, used)
+    plain = materialise(rooted.where(F.col("_df") > FREQUENT).select("_key", "_n").distinct(), "again")
+    used.append(plain)
+    usual = None
+    if several := plain.count():
+        sets: list[DataFrame] = []
+        whole = _class_sets(plain, several, classes, docs, width, sets)
+        lists = materialise(arrow_map(whole, _as_lists, "_key long, _tokens array<long>"), "lists")
+        discard(*sets)
+        again, often = _left(_prefixes(lists, plain.withColumn("_low", F.col("_n")), t, F.lit(True)), roots)
+        used.append(often)
+        asked = asked.union(_asked(again, often, roots, t, used)).distinct()
+        usual = again.where(F.col("_df") > FREQUENT).select("_token", "_key", "_n", "_df")
     links = links.unionByName(_verified(asked, classes, docs, t, width))
-    discard(cells, often)
+    discard(*used)
+    if usual is not None:
+        roots = components(links)
+        links = links.unionByName(_boilerplate(usual, roots, classes, docs, t, width))
+        discard(again)
 
     roots = components(links)
     naming = classes.join(roots, classes["_key"] == roots["u"], "left").select("_digest", F.coalesce("root", "_key").alias("_root"), "_first")
