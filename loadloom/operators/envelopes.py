@@ -10,9 +10,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import hash_uniform, normal_cdf, normal_quantile
 
+#: Tasks for each core among which nodes are dealt.
+DEALT = 4
+
 
 def _over(a, b):
     return F.when(b != 0, a / F.when(b != 0, b))
@@ -65,31 +69,33 @@ def sibling_draws(base: DataFrame, siblings: DataFrame, z: DataFrame, cells: Dat
     days = z.groupBy(*keys, "cell", F.date_format("t", "yyyy-MM-dd").alias("_day")).agg(F.count("*").alias("_n"), F.sum("z").alias("_z"))
     eps = lambda node, day: normal_quantile(hash_uniform(F.lit(str(seed)), F.lit("sibling"), node.cast("string"), day))
     # eps depends on node and day only: each is drawn once, and a node's days are multiplied with the calendar's hours in each cell.
-    calendar = days.where("_day IS NOT NULL").toPandas()  # a calendar's days in each cell
-    names = sorted(set(calendar["_day"]))
-    cell_of = calendar.groupby([*keys, "cell"], dropna=False, sort=False)
-    hours = np.zeros((len(names), cell_of.ngroups))
-    hours[[names.index(d) for d in calendar["_day"]], cell_of.ngroup()] = calendar["_n"]
-    held = cell_of.ngroup().groupby(cell_of.ngroup()).head(1).index
-    labels = calendar.loc[held, [*keys, "cell"]].reset_index(drop=True)
+    calendar = days.where("_day IS NOT NULL").select(*keys, "cell", "_day", "_n").collect()  # a calendar's days in each cell
+    names = sorted({r["_day"] for r in calendar})
+    place_of = {day: i for i, day in enumerate(names)}
+    cell_of: dict[tuple, int] = {}
+    for r in calendar:
+        cell_of.setdefault(tuple(r[:-2]), len(cell_of))
+    hours = np.zeros((len(names), len(cell_of)))
+    for r in calendar:
+        hours[place_of[r["_day"]], cell_of[tuple(r[:-2])]] = r["_n"]
 
     def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch) if len(labels) else 0, 1000):
+            for at in range(0, len(batch), 1000):
                 part = batch[at : at + 1000]
-                means = np.stack(part["_e"]) @ hours / hours.sum(0)
-                out = labels.iloc[np.tile(np.arange(len(labels)), len(part))].reset_index(drop=True)
-                yield out.assign(node=np.repeat(part["node"].to_numpy(), len(labels)), _eps=means.ravel())
-
-    kinds = dict(days.dtypes) | dict(siblings.dtypes)
-    drawn = siblings.select("node").distinct().select("node", F.transform(F.array(*map(F.lit, names)).cast("array<string>"), lambda day: eps(F.col("node"), day)).alias("_e"))
-    noise = drawn.mapInPandas(mixed, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "cell", "node")) + ", _eps double")
-    level = days.groupBy(*keys, "cell").agg((F.sum("_z") / F.sum("_n")).alias("_zbar"))
-    noise = noise.join(F.broadcast(level), [*keys, "cell"])  # a few cells
-    rows = siblings.join(base, "base").join(F.broadcast(cells.select("cell", "rho")), "cell", "left")
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "_eps": list(np.stack(part["_e"]) @ hours / hours.sum(0))})
+
+    # Nodes are few bytes but much work, so they are dealt out by number; they stay a row each, with a value for each cell, up to the result.
+    drawn = siblings.select("node").distinct().repartition(DEALT * siblings.sparkSession.sparkContext.defaultParallelism, "node")
+    drawn = drawn.select("node", F.transform(F.array(*map(F.lit, names)).cast("array<string>"), lambda day: eps(F.col("node"), day)).alias("_e"))
+    noise = drawn.mapInPandas(mixed, f"node {dict(siblings.dtypes)['node']}, _eps array<double>")
+    places = T.StructType([*(days.schema[c] for c in (*keys, "cell")), T.StructField("_at", T.IntegerType())])
+    places = siblings.sparkSession.createDataFrame([(*cell, at) for cell, at in cell_of.items()], places)
+    level = days.groupBy(*keys, "cell").agg((F.sum("_z") / F.sum("_n")).alias("_zbar")).join(F.broadcast(places), [*keys, "cell"])
+    rows = siblings.join(base, "base").join(F.broadcast(cells.select("cell", "rho")), "cell", "left").join(noise, "node", "left")
     if keys:
         rows = rows.crossJoin(F.broadcast(z.select(*keys).distinct()))  # a few values
-    rows = rows.join(noise, [*keys, "node", "cell"], "left")
+    rows = rows.join(F.broadcast(level), [*keys, "cell"], "left").withColumn("_eps", F.get("_eps", "_at"))  # a few cells
     size = F.col("k") if mode == "proportional" else F.sqrt(F.abs("k"))
     w = F.sqrt("rho") * F.col("_zbar") + F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("rho"))) * F.col("_eps")
     return rows.select(*keys, "node", "base", "cell", F.coalesce(F.col("k") * F.col("mu") + size * F.col("sigma") * w, F.col("k") * F.col("mu")).alias("mean"))
